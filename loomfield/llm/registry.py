@@ -1,6 +1,7 @@
 """The queries on the training-data operators, and their SQL for DuckDB."""
 
+from .bpe import op5_bpe, op9_token_counts
 from .simhash import op7_simhash
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {"op5_bpe": op5_bpe, "op7_simhash": op7_simhash, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
