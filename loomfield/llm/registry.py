@@ -1,7 +1,8 @@
 """The queries on the training-data operators, and their SQL for DuckDB."""
 
 from .bpe import op5_bpe, op9_token_counts
+from .packing import op6_packing
 from .simhash import op7_simhash
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_simhash": op7_simhash, "op9_token_counts": op9_token_counts}
+QUERIES = {"op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
