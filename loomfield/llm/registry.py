@@ -2,7 +2,8 @@
 
 from .bpe import op5_bpe, op9_token_counts
 from .packing import op6_packing
+from .quality import op8_quality
 from .simhash import op7_simhash
 
-QUERIES = {"op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op9_token_counts": op9_token_counts}
+QUERIES = {"op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
