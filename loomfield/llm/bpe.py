@@ -39,9 +39,9 @@ def byte_letters() -> list[str]:
 _S = r"\t-\r \x85\xA0  -     　"
 
 
-#: Letters and numbers of Unicode 16, which the tokenizers library knows and unicodedata doesn't, and their lower case.
+#: Letters and numbers of Unicode 16, which the tokenizers library knows and unicodedata doesn't; lower case new with Unicode 16 and 17.
 _SIXTEEN = regex.compile("[\u1c89\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d40-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U000113b7\U000113d1\U000113d3\U000116d0-\U000116e3\U00011bc0-\U00011be0\U00011bf0-\U00011bf9\U00013460-\U000143fa\U00016100-\U0001611d\U00016130-\U00016139\U00016d40-\U00016d6c\U00016d70-\U00016d79\U00018cff\U0001ccf0-\U0001ccf9\U0001e5d0-\U0001e5ed\U0001e5f0-\U0001e5fa]")
-_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
 
 
 def _ranges(letters: str) -> str:
