@@ -1,11 +1,12 @@
 """The queries on the training-data operators, and their SQL for DuckDB."""
 
 from .bpe import op5_bpe, op9_token_counts
+from .html import op10_html
 from .imatch import op1_imatch
 from .packing import op6_packing
 from .quality import op8_quality
 from .secrets import op4_secrets
 from .simhash import op7_simhash
 
-QUERIES = {"op1_imatch": op1_imatch, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts}
+QUERIES = {"op1_imatch": op1_imatch, "op4_secrets": op4_secrets, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_html": op10_html}
 ORACLES: dict[str, str] = {}
