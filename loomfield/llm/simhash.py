@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -161,20 +161,36 @@ def near_links(prints: DataFrame, within: int = 4, count: int = 3, block: int =
     return rows.mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, within: int = 4) -> DataFrame:
-    """(doc_id, f, component_id) for each row of docs; other columns of docs are not looked at.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, within: int = 4, count: int = 3) -> DataFrame:
+    """(doc_id, text_hash, f, root, component_id) for each row of docs; other columns of docs are not looked at.
 
-    Null or empty texts, or those without words, have fingerprint 0 and link like any other. Rows that repeat stay,
-    each with the same component. component_id is the least doc_id of the component, null if it has none. An empty
-    table gives an empty table."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), width).alias("f"))
+    f is the fingerprint, root the least fingerprint of the component. Null or empty texts, or those without words,
+    have fingerprint 0 and link like any other. Rows that repeat stay, each with the same component. component_id is
+    the least doc_id of the component, null if it has none. An empty table gives an empty table."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint(F.col(text), width).alias("f"))
     own = materialize(own, "simhash")
     least = own.groupBy("f").agg(F.min("doc_id").alias("first"))
-    found = components(near_links(own, within))
+    found = components(near_links(own, within, count))
     root = least.join(found.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     root = materialize(root, "roots")
     names = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(root.join(names, "root").select("f", "component_id"), "f").select("doc_id", "f", "component_id")
+    return own.join(root.join(names, "root").select("f", "root", "component_id"), "f").select("doc_id", "text_hash", "f", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 8, count: int = 5) -> DataFrame:
+    """docs without all but one row of each group of near duplicates: that with the least doc_id, or, of rows with the
+    same doc_id or none, with the least hash of its text; of rows alike in both, any. Columns come back as they are."""
+    found = materialize(near_duplicates(docs, text, doc_id, width, within, count), "groups")
+    lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    lead = lead.select(F.col("x.doc_id").alias("_lead"), F.col("x.text_hash").alias("_hash"))
+    same = docs[doc_id].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+    kept = docs.join(lead, same, "left_semi")
+    twice = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_th")).count().where("count > 1")
+    if not twice.take(1):
+        return kept
+    alike = kept[doc_id].eqNullSafe(F.col("_of")) & (F.xxhash64(kept[text]) == F.col("_th"))
+    several = kept.join(twice, alike, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
+    return kept.join(twice, alike, "left_anti").unionByName(several)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
