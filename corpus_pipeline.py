@@ -29,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets masked and n_chars anew."""
-    found = secrets.scan(docs.select(COLUMNS))
-    text = secrets.masked(F.col("text"), F.col("_spans"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    found = secrets.scan(docs.select(COLUMNS)).withColumn("_masked", secrets.masked(F.col("text"), F.col("_spans")))
+    n_chars = F.when(F.size("_spans") > 0, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("_masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
