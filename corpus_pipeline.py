@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least doc_id.
 
-    Shingles are of five words. Fingerprints link at eight differing bits or fewer, at which shingle sets are alike to
-    0.86 by the angle that SimHash estimates; at nine bits, 0.83, unrelated texts begin to link by chance."""
-    return simhash.one_of_each(docs, width=5, within=8, count=5)
+    Texts are near duplicates if their sets of five-word shingles have a Jaccard index of 0.8 or more, and what links to
+    these. Fingerprints at eight differing bits or fewer and shared MinHash bands give candidates; each link is verified."""
+    return simhash.one_of_each(docs, width=5, within=8, count=5, least=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,10 @@ from .components import components
 BLOCK = 4096
 #: Distances that are computed in one go.
 CHUNK = 2_000_000
+#: MinHash bands and values in each: a pair with a Jaccard index of 0.8 shares none with probability 7e-5.
+BANDS, ROWS = 24, 5
+#: Shingles whose MinHash values are computed in one go.
+PART = 8192
 
 
 def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -177,10 +181,142 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return own.join(root.join(names, "root").select("f", "root", "component_id"), "f").select("doc_id", "text_hash", "f", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 8, count: int = 5) -> DataFrame:
-    """docs without all but one row of each group of near duplicates: that with the least doc_id, or, of rows with the
-    same doc_id or none, with the least hash of its text; of rows alike in both, any. Columns come back as they are."""
-    found = materialize(near_duplicates(docs, text, doc_id, width, within, count), "groups")
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes, ascending, that simhash() takes of a text. A text without words, or null: the hash of nothing."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(found[i : i + width]), seed) for i in range(max(1, len(found) - width + 1))}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
+def bands(hashes: np.ndarray, count: int = BANDS, rows: int = ROWS) -> list[int]:
+    """A signed hash for each of `count` bands of `rows` MinHash values: two sets with Jaccard index j share a band
+    with probability 1 - (1 - j**rows)**count."""
+    rng = np.random.default_rng(20)
+    salts, odds = (rng.integers(0, 1 << 63, (2, count * rows, 1), np.uint64) << np.uint64(1)) | np.uint64(1)
+    least = np.full(count * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), PART):
+        mixed = (hashes[None, at : at + PART] ^ salts) * odds
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= odds
+        least = np.minimum(least, mixed.min(axis=1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(least.astype("<u8").reshape(count, rows))]
+
+
+def alike(sets: list[np.ndarray], least: float = 0.8) -> list[int]:
+    """For each set of distinct values the place of the first set of its component, where sets with a Jaccard index of
+    `least` or more are linked. Each set is held against all that are not yet in a component: no pair is left out."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    root, open_ = np.full(len(sets), -1), np.arange(len(sets))
+    mark = np.zeros(len(values), np.int64)
+    while len(open_):
+        first, todo, open_ = open_[0], [open_[0]], open_[1:]
+        root[first] = first
+        own = None  # the open sets' values, laid end to end
+        while todo and len(open_):
+            if own is None:
+                n = sizes[open_]
+                starts = np.cumsum(n) - n
+                own = flat[np.arange(n.sum()) + np.repeat(ends[open_] - n - starts, n)]
+            x = todo.pop()
+            at = flat[ends[x] - sizes[x] : ends[x]]
+            mark[at] = 1
+            both = np.add.reduceat(mark[own], starts)
+            mark[at] = 0
+            near = both >= least * (sizes[x] + n - both) - 1e-9
+            if near.any():
+                root[open_[near]] = first
+                todo.extend(open_[near].tolist())
+                open_, own = open_[~near], None
+    return root.tolist()
+
+
+def alike_links(sets: DataFrame, keys: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect those u of sets (u, shingles) that share a key of keys (u, k) and are alike to `least`.
+
+    Keys with the same members are one. A key's members meet in one task, which links them by exact Jaccard index; the
+    members of a key with over `block` are dealt to blocks, and each two blocks meet."""
+    keys = keys.distinct()
+    members = keys.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("sum"), F.min("u").alias("low")).where("n > 1")
+    crowds = members.groupBy("n", "sum", "low").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("u"), F.col("blocks").cast("long")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != own)
+    place = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own)))
+    rows = keys.join(crowds, "k").select("u", "k", F.explode(place).alias("block")).join(sets, "u")
+    rows = rows.repartition("k", "block").sortWithinPartitions("k", "block")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(us) > 1:
+                roots = alike(held, least)
+                found = [(u, us[r]) for u, r in zip(us, roots, strict=True) if u != us[r]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+        last, us, held = None, [], []
+        for batch in batches:
+            names = {x: i for i, x in enumerate(batch.schema.names)}
+            lists = batch.column(names["shingles"])
+            for i, (u, *key) in enumerate(zip(*(batch.column(names[x]).to_pylist() for x in ("u", "k", "block")), strict=True)):
+                if key != last:
+                    yield from close()
+                    last, us, held = key, [], []
+                us.append(u)
+                held.append(np.array(lists[i].values.to_numpy(zero_copy_only=False)))
+        yield from close()
+
+    return rows.select("u", "k", "block", "shingles").mapInArrow(link, "a long, b long")
+
+
+def sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """docs with `u`, a hash of the text's set of shingles, and `bands`."""
+
+    @F.pandas_udf("u long, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shingles(x, width) for x in texts]
+            yield pd.DataFrame({"u": [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in found], "bands": [bands(x) for x in found]})
+
+    return docs.withColumn("_s", of(F.col(text))).select("*", "_s.u", "_s.bands").drop("_s")
+
+
+def verified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 8, count: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, root) for each row of docs: texts whose sets of shingles have a Jaccard index of `least` or
+    more are linked, and root names the component.
+
+    Candidates are the texts that share a component of fingerprints at `within` bits or fewer, or a band of MinHash
+    values; no candidate becomes a link before its sets of shingles are compared whole. Only candidates' sets are
+    shuffled, and equal sets are one."""
+    prints = near_duplicates(docs, text, doc_id, width, within, count).select("text_hash", "root").distinct()
+    own = sketches(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")), "_text", width).drop("_text")
+    own = materialize(own, "sketches")
+    each = own.groupBy("u").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.first("bands").alias("bands")).select("u", "x.*", "bands")
+    each = materialize(each.join(prints, "text_hash"), "sets")
+    keys = each.select("u", F.explode("bands").alias("k")).unionByName(each.select("u", F.xxhash64(F.lit("f"), "root").alias("k")))
+    shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    keys = materialize(keys.join(shared, "k", "left_semi"), "keys")
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(x, width).view(np.int64) for x in texts])
+
+    wanted = each.join(keys.select("u").distinct(), "u", "left_semi").select("u", F.col("doc_id").alias("_id"), "text_hash")
+    same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("text_hash"))
+    texts = docs.select(doc_id, text).join(wanted, same).select("u", F.col(text).alias("_text"))
+    texts = materialize(texts.groupBy("u").agg(F.first("_text").alias("_text")).select("u", sets("_text").alias("shingles")), "shingles")
+    found = components(alike_links(texts, keys, least))
+    out = own.select("doc_id", "text_hash", "u").join(found.withColumnRenamed("node", "u"), "u", "left")
+    return out.select("doc_id", "text_hash", F.coalesce("root", "u").alias("root"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 8, count: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without all but one row of each group of near duplicates, as verified() finds them: that with the least
+    doc_id, or, of rows with the same doc_id or none, with the least hash of its text; of rows alike in both, any.
+    Columns come back as they are."""
+    found = materialize(verified(docs, text, doc_id, width, within, count, least), "groups")
     lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
     lead = lead.select(F.col("x.doc_id").alias("_lead"), F.col("x.text_hash").alias("_hash"))
     same = docs[doc_id].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs[text]) == F.col("_hash"))
