@@ -18,7 +18,7 @@ LEXICON = 1_000_000
 BUCKETS = 1 << 14
 #: Lexicon subsets at each of a fingerprint's two densities.
 SUBSETS = 24
-#: A document with fewer terms in the band is fingerprinted by all its terms.
+#: Terms with the least hashes that always stand beside those in the band, and all terms with negative hashes do.
 FEWEST = 8
 #: Rows of one ordering block, about, and blocks along one side of the two-level bounds at most.
 BLOCK, SIDE = 4000, 64
@@ -31,13 +31,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, limit: int = LEXICON) -> DataFrame:
-    """(term): hashes of the terms in the band, over all documents.
+    """(term): hashes of the terms in the band, over all distinct texts, so that copies don't move a term out of it.
 
     A term in the band is in a share `low` of the documents at least, so there are at most (mean distinct terms a
     document) / low of them however many documents there are; the limit is checked all the same."""
     low, high = band
-    n = docs.count()
-    found = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    own = F.coalesce(F.col(text), F.lit(""))
+    n = docs.select(F.xxhash64(own)).distinct().count()
+    each = docs.select(F.xxhash64(own).alias("h"), terms(own).alias("terms")).groupBy("h").agg(F.first("terms").alias("terms"))
+    found = each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     found = materialize(found.where((F.col("df") >= low * n) & (F.col("df") <= high * n)), "lexicon")
     while found.count() > limit:
         low *= 2
@@ -69,8 +71,10 @@ def fingerprint(text: Column, buckets: Column) -> Column:
     in the text, in the order of their own hashes."""
 
     def of_terms(t: Column) -> Column:
-        inside = F.filter(t, lambda x: F.array_contains(F.get(buckets, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), x))
-        return let(inside, lambda b: let(F.when(F.size(b) >= FEWEST, b).otherwise(t), of_kept))
+        # The same terms whatever else a text holds, so that an edited text keeps them: no switch between two sets.
+        last = F.coalesce(F.get(F.sort_array(t), F.least(F.size(t), F.lit(FEWEST)) - 1), F.lit(-1).cast("long"))
+        inside = lambda x: F.array_contains(F.get(buckets, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), x)
+        return let(F.greatest(last, F.lit(-1).cast("long")), lambda m: let(F.filter(t, lambda x: (x <= m) | inside(x)), of_kept))
 
     def of_kept(u: Column) -> Column:
         level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(u), F.lit(1)) / SUBSETS)).cast("int"))
