@@ -215,18 +215,13 @@ def score_difference(a: DataFrame, b: DataFrame, score: str = "combined_score",
 
     Without overlapping, only rows significant in one of them at least. Rows meet on the genes, and on cell_type where
     both have it. The percentile of d is (below + at most + 1 where any equals) * 50 / n; over the threshold or under
-    100 - threshold is an outlier. Counts come from one window over the differences: result rows, not cells."""
+    100 - threshold is an outlier. """
     keys = [c for c in ("cell_type", "gene_center", "gene_motif") if c in a.columns and c in b.columns]
     pick = lambda df, s: df.select(*keys, F.col(score).alias(f"score_{s}"), F.col(significant).alias(f"significant_in_{s}"))
     both = pick(a, "A").join(pick(b, "B"), keys)
     if not overlapping:
         both = both.where(F.col("significant_in_A") | F.col("significant_in_B"))
     both = both.withColumn("score_diff", F.col("score_A") - F.col("score_B"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy("score_diff")
-    n = F.count("*").over(Window.partitionBy())
-    upto = F.count("*").over(order.rangeBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("percentile", (F.rank().over(order) - 1 + upto + 1) * 50.0 / n)
+    out = stats.percentile_ranks(both, "score_diff")
     high, low = F.col("percentile") > threshold, F.col("percentile") < 100 - threshold
     return out.withColumns({"is_outlier": high | low, "outlier_direction": F.when(high, "higher_in_A").when(low, "lower_in_A").otherwise("not_outlier")})

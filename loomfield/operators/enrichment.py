@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions import stats
+from loomfield.sources.tables import written
 
 from .neighbors import check_label, known_labels, knn_join, radius_join
 from .patterns import holds, maximal, mine, transactions
 
 
-def _motifs(motifs: list[list[str]]) -> Column:
-    return F.array(*[F.array(*[F.lit(x) for x in sorted(m)]) for m in motifs])
+def _motifs(spark: SparkSession, motifs: list[list[str]]) -> DataFrame:
+    """Given motifs as rows: (itemset)."""
+    return spark.createDataFrame([(sorted(m),) for m in motifs], "itemset array<string>")
 
 
 def flat(motifs: list) -> list[list[str]]:
@@ -20,16 +22,18 @@ def flat(motifs: list) -> list[list[str]]:
     return [motifs] if motifs and isinstance(motifs[0], str) else [list(m) for m in motifs]
 
 
-def motif_counts(cells: DataFrame, pairs: DataFrame, ct: str, motifs: list[list[str]]) -> DataFrame:
+def motif_counts(cells: DataFrame, pairs: DataFrame, ct: str, motifs: DataFrame) -> DataFrame:
     """(center, motif, n_center_motif, n_center, n_motif, n_cells): over all fields of view, centres of label ct, cells
     of any label whose neighbourhood has the motif, and those that are both. Neighbourhoods are found once for all
     motifs, and each is matched where it is. A field of view without a label of the motif adds to cells and centres
     alone. A label that the motif names m times divides the centres by m, rounded half to even."""
     sets = pairs.groupBy("dataset", "fov", "center_id", "center_label").agg(F.collect_set("neighbor_label").alias("labels"))
-    motif = F.explode(F.filter(_motifs(motifs), lambda m: holds(F.col("labels"), m))).alias("motif")
-    seen = sets.select("center_label", motif).groupBy("motif").agg(F.count("*").alias("n_motif"), F.sum(F.when(F.col("center_label") == ct, 1).otherwise(0)).alias("n_center_motif"))
+    sets = sets.groupBy("center_label", F.sort_array("labels").alias("labels")).agg(F.count("*").alias("_n"))
+    sets = sets.withColumn("_m", motifs.agg(F.collect_list("itemset")).scalar())
+    motif = F.explode(F.filter("_m", lambda m: holds(F.col("labels"), m))).alias("motif")
+    seen = sets.select("center_label", "_n", motif).groupBy("motif").agg(F.sum("_n").alias("n_motif"), F.sum(F.when(F.col("center_label") == ct, F.col("_n")).otherwise(0)).alias("n_center_motif"))
     total = cells.agg(F.count("*").alias("n_cells"), F.sum(F.when(F.col("label") == ct, 1).otherwise(0)).alias("_ct"))
-    every = total.select("n_cells", "_ct", F.explode(_motifs(motifs)).alias("motif"))
+    every = motifs.select(F.col("itemset").alias("motif")).withColumn("_t", total.select(F.struct("n_cells", "_ct")).scalar()).select("motif", "_t.*")
     times = F.size(F.filter("motif", lambda m: m == ct))
     out = every.join(seen, "motif", "left").fillna(0, ["n_motif", "n_center_motif"])
     return out.select(F.lit(ct).alias("center"), "motif", "n_center_motif", F.bround(F.col("_ct") / F.greatest(times, F.lit(1))).cast("long").alias("n_center"), "n_motif", "n_cells")
@@ -43,15 +47,11 @@ def enrichment(cells: DataFrame, ct: str, motifs: list | None = None, max_dist:
     none but those, like an unknown ct, raises ValueError. No motif found: an empty table. One motif isn't adjusted."""
     check_label(cells, ct)
     if motifs is None:
-        found = mined(cells, ct, max_dist, k, min_support, min_size).collect()
-        motifs = [r["itemset"] for r in found]
+        wanted = written(mined(cells, ct, max_dist, k, min_support, min_size).select("itemset"), "motifs")
     else:
-        motifs = [known_labels(cells, m) for m in flat(motifs)]
+        wanted = _motifs(cells.sparkSession, [known_labels(cells, m) for m in flat(motifs)])
     pairs = radius_join(cells, max_dist) if k is None else knn_join(cells, k, max_dist)
-    if not motifs:
-        counts = motif_counts(cells, pairs, ct, [[ct]]).where("false")
-    else:
-        counts = motif_counts(cells, pairs, ct, motifs)
+    counts = motif_counts(cells, pairs, ct, wanted)
     out = counts.withColumn("expectation", F.col("n_center") * F.col("n_motif") / F.col("n_cells"))
     out = out.withColumn("p_value", stats.p_enriched(F.col("n_center_motif"), F.col("n_cells"), F.col("n_center"), F.col("n_motif")))
     out = stats.benjamini_hochberg(out)
@@ -119,7 +119,7 @@ def differential(cells: DataFrame, ct: str, datasets: list[str], motifs: list |
     if motifs is None:
         wanted = mined(own, ct, max_dist, k, min_support, min_size, ["fov"]).select("itemset").distinct()
     else:
-        wanted = own.sparkSession.range(1).select(F.explode(_motifs(flat(motifs))).alias("itemset"))
+        wanted = _motifs(own.sparkSession, flat(motifs))
     by_fov = motif_supports(own, ct, wanted, max_dist, k, min_size)
     side = lambda d: F.sort_array(F.collect_list(F.when(F.col("dataset") == d, F.col("support"))))
     rows = by_fov.groupBy("itemset").agg(side(datasets[0]).alias("_a"), side(datasets[1]).alias("_b")).withColumn("_r", _average_ranks(F.concat("_a", "_b")))

@@ -110,7 +110,8 @@ def itemsets(expr: DataFrame, genes: list[str], n_cells: int, min_cells: int = 1
     """(genes, query, tf_idf, n_cells): sets of two of the genes or more that min_cells cells express together. A set's
     score is its least tf_idf times the sum. Cells with one of the genes only count for no set."""
     own = expr.where(F.col("gene").isin(genes)).groupBy("fov", "cell_id").agg(F.sort_array(F.collect_set("gene")).alias("labels")).where(F.size("labels") > 1)
-    found = mine(own, 0.0).where((F.size("itemset") > 1) & (F.col("freq") >= min_cells))
+    least = min_cells / max(1, own.count())
+    found = mine(own, least * (1 - 1e-12)).where((F.size("itemset") > 1) & (F.col("freq") >= min_cells))
     scores = tf_idf(expr, genes, n_cells)
     scored = found.select("itemset", "freq", F.explode("itemset").alias("gene")).join(scores, "gene").groupBy("itemset").agg(F.first("freq").alias("n_cells"), (F.min("tf_idf") * F.sum("tf_idf")).alias("tf_idf"))
     return scored.select(F.size("itemset").alias("genes"), F.array_join("itemset", ",").alias("query"), "tf_idf", "n_cells")

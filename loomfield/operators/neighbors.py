@@ -20,13 +20,13 @@ def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float) -> D
 
     Both sides go to buckets of the radius' size; each probe asks its own bucket and the eight round it, so the join is
     on equal keys and a pair comes up once. A crowded bucket is a skewed key, which the skew join splits. A radius that
-    differs by field of view is a column of both sides."""
+    differs by field of view is the column `_at` of both sides."""
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     asks = _buckets(probes, radius).withColumn("_o", F.explode(offsets)).withColumns({"gx": F.col("gx") + F.col("_o.i"), "gy": F.col("gy") + F.col("_o.j")}).drop("_o")
     size = radius if isinstance(radius, Column) else F.lit(float(radius))
     kept = points.withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
     if isinstance(radius, Column):
-        kept = kept.drop("_r")
+        kept = kept.drop("_at")
     dist2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
     return asks.join(kept, ["fov", "gx", "gy"]).withColumn("dist2", dist2).where(F.col("dist2") <= size * size).drop("gx", "gy", "px", "py")
 
@@ -53,7 +53,8 @@ def knn_join(cells: DataFrame, k: int, max_dist: float, centers: DataFrame | Non
 
     A first round at the radius where some 3k neighbours are expected settles the centres that find k there; only the
     others ask again, at twice the radius each time, up to max_dist. A round is exact, as a centre with k neighbours
-    within a radius needs none from beyond."""
+    within a radius needs none from beyond. What a round settled and what it left are written tables, so a round's plan
+    doesn't hold those before it."""
     centers = cells if centers is None else centers
     radius = math.sqrt(3 * k / (math.pi * 0.25))  # mean nearest distance 1: a density of about a quarter
     order = Window.partitionBy("fov", "center_id").orderBy("dist2", "neighbor_id")
@@ -64,31 +65,64 @@ def knn_join(cells: DataFrame, k: int, max_dist: float, centers: DataFrame | Non
         if strict and last:
             near = near.where(F.col("dist2") < max_dist * max_dist)
         near = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-        if last:
-            return (near if done is None else done.unionByName(near)).select(*PAIRS, "nth")
-        full = near.where(F.col("nth") == k).select("fov", F.col("center_id").alias("cell_id"))
-        near = near.join(full.withColumnRenamed("cell_id", "center_id"), ["fov", "center_id"], "left_semi")
+        if not last:
+            near = written(near, "near")
+            full = near.where(F.col("nth") == k).select("fov", F.col("center_id").alias("cell_id"))
+            near = near.join(full.withColumnRenamed("cell_id", "center_id"), ["fov", "center_id"], "left_semi")
+            centers = written(centers.join(full, ["fov", "cell_id"], "left_anti"), "centers")
+            last = not centers.take(1)
         done = near if done is None else done.unionByName(near)
-        centers = centers.join(full, ["fov", "cell_id"], "left_anti")
+        if last:
+            return done.select(*PAIRS, "nth")
         radius *= 2
 
 
-def nearest_distance(cells: DataFrame) -> DataFrame:
-    """(fov, cell_id, dist2) of each cell's nearest other cell. The radius, three times the mean spacing of the field
-    of view at first, doubles for those that found none; a field of view of one cell raises ValueError."""
-    spread = cells.groupBy("fov").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x") + 1e-9) * (F.max("y") - F.min("y") + 1e-9)).alias("area"))
-    if spread.where("n < 2").take(1):
+#: Cells that a bucket may hold as its cells see it on the mean, before the buckets are made smaller.
+CROWDED = 16
+
+
+def _first_radius(cells: DataFrame) -> DataFrame:
+    """(fov, _r, _end): a radius at which a cell meets few others, and one that spans the field of view.
+
+    Twice the mean spacing of the box, or of its longer side where the cells lie along a line. Where cells are clustered
+    that is far too wide: while the cells of a field of view see over CROWDED in their bucket on the mean, its radius is
+    divided by 16. Each check is a count by bucket."""
+    w, h = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    sides = cells.groupBy("fov").agg(F.count("*").alias("n"), w.alias("w"), h.alias("h"))
+    if sides.where("n < 2").take(1):
         raise ValueError("a field of view of one cell has no nearest distance")
-    rest, done, scale = cells.join(spread.select("fov", (F.lit(3.0) * F.sqrt(F.col("area") / F.col("n"))).alias("_r")), "fov"), None, 1.0
-    points = rest.select("fov", F.col("cell_id").alias("neighbor_id"), F.col("x").alias("px"), F.col("y").alias("py"), "_r")
+    end = F.greatest(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")), F.lit(1e-9)) * 1.001
+    spacing = F.greatest(F.sqrt(F.col("w") * F.col("h") / F.col("n")), F.greatest("w", "h") / F.col("n"))
+    radii = written(sides.select("fov", F.greatest(2 * spacing, end * 1e-9).alias("_r"), end.alias("_end")), "radii")
+    for _ in range(8):
+        size = F.col("_r")
+        seen = cells.join(radii, "fov").groupBy("fov", F.floor(F.col("x") / size), F.floor(F.col("y") / size)).agg(F.count("*").alias("c"))
+        seen = seen.groupBy("fov").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("_seen"))
+        full = written(seen.where(F.col("_seen") > CROWDED).select("fov", F.lit(1 / 16).alias("_times")), "crowded")
+        if not full.take(1):
+            break
+        narrower = F.greatest(F.col("_r") * F.coalesce("_times", F.lit(1.0)), F.col("_end") * 1e-9)
+        radii = written(radii.join(full, "fov", "left").select("fov", narrower.alias("_r"), "_end"), "radii")
+    return radii
+
+
+def nearest_distance(cells: DataFrame) -> DataFrame:
+    """(fov, cell_id, dist2) of each cell's nearest other cell. Cells that find none within a first radius ask again at
+    4, then 64, then 4096 times the radius and so on, until it spans the field of view; a field of view of one cell raises ValueError. Rounds are
+    written tables."""
+    cells = cells.select("fov", "cell_id", "x", "y")
+    cells = written(cells, "points")
+    rest, done, scale, step = cells.join(_first_radius(cells), "fov"), None, 1.0, 4.0
+    points = rest.select("fov", F.col("cell_id").alias("neighbor_id"), F.col("x").alias("px"), F.col("y").alias("py"), "_r", "_end")
     while True:
-        found = grid_join(rest.select("fov", "cell_id", "x", "y", "_r"), points, F.col("_r") * scale).where("cell_id <> neighbor_id")
-        found = found.groupBy("fov", "cell_id").agg(F.min("dist2").alias("dist2"))
+        own = F.least(F.col("_r") * scale, F.col("_end"))
+        found = grid_join(rest.withColumn("_at", own), points.withColumn("_at", own).drop("_r", "_end"), F.col("_at")).where("cell_id <> neighbor_id")
+        found = written(found.groupBy("fov", "cell_id").agg(F.min("dist2").alias("dist2")), "nearest")
         done = found if done is None else done.unionByName(found)
-        rest = rest.join(found.select("fov", "cell_id"), ["fov", "cell_id"], "left_anti")
+        rest = written(rest.join(found.select("fov", "cell_id"), ["fov", "cell_id"], "left_anti"), "rest")
         if not rest.take(1):
             return done
-        scale *= 2
+        scale, step = scale * step, step * 4
 
 
 def normalize(cells: DataFrame) -> DataFrame:

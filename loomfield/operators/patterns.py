@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labels in one transaction up to which all its subsets are counted; beyond, FP-growth mines.
-ENUMERATED = 14
+from loomfield.sources.tables import written
+
+#: Labels in one transaction up to which all its subsets are counted at once; wider ones are mined level by level.
+ENUMERATED = 8
 
 
 def label_counts(pairs: DataFrame) -> DataFrame:
@@ -34,23 +36,45 @@ def _subsets(labels: Column) -> Column:
 def mine(sets: DataFrame, min_support: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """(by, itemset, freq, support) with support >= min_support, the share of the group's transactions.
 
-    Equal label sets are counted first, so what is enumerated is the distinct sets, few however many cells there are.
-    Transactions of more labels than ENUMERATED are mined by FP-growth."""
+    Equal label sets are counted first, so what is mined is the distinct sets, few however many cells there are. Where
+    the widest has at most ENUMERATED labels, all subsets are counted in one pass. Else FP-growth mines all sets
+    pooled, and groups are mined level by level."""
     by = by or []
-    total = sets.groupBy(*by).agg(F.count("*").alias("_total"))
-    widest = sets.agg(F.max(F.size("labels"))).first()[0] or 0
-    if widest > ENUMERATED and not by:
+    kinds = written(sets.groupBy(*by, "labels").agg(F.count("*").alias("_n")), "kinds")
+    total = kinds.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    widest = kinds.agg(F.max(F.size("labels"))).first()[0] or 0
+    if widest <= ENUMERATED:
+        found = kinds.select(*by, F.explode(_subsets(F.col("labels"))).alias("itemset"), "_n").groupBy(*by, "itemset").agg(F.sum("_n").alias("freq"))
+    elif by:
+        found = _levels(kinds, total, min_support, by)
+    else:
         from pyspark.ml.fpm import FPGrowth
 
-        found = FPGrowth(itemsCol="labels", minSupport=min_support).fit(sets).freqItemsets
-        found = found.select(F.sort_array("items").alias("itemset"), "freq")
-    else:
-        kinds = sets.groupBy(*by, "labels").agg(F.count("*").alias("_n"))
-        found = kinds.select(*by, F.explode(_subsets(F.col("labels"))).alias("itemset"), "_n").groupBy(*by, "itemset").agg(F.sum("_n").alias("freq"))
+        found = FPGrowth(itemsCol="labels", minSupport=min_support).fit(sets).freqItemsets.select(F.sort_array("items").alias("itemset"), "freq")
     joined = found.join(total, by) if by else found.withColumn("_total", total.scalar())
     return joined.withColumn("support", F.col("freq") / F.col("_total")).where(F.col("support") >= min_support).drop("_total")
 
 
+def _levels(kinds: DataFrame, total: DataFrame, min_support: float, by: list[str]) -> DataFrame:
+    """(by, itemset, freq) of the frequent sets of each group, shorter ones first: a set grows by each of its
+    transaction's frequent labels that come after its last, and only frequent sets go on to the next level."""
+    kinds = kinds.withColumn("_kind", F.xxhash64("labels"))
+    enough = lambda counted: counted.join(total, by).where(F.col("freq") >= min_support * F.col("_total") - 1e-9).drop("_total")
+    each = kinds.select(*by, "_kind", "_n", F.explode("labels").alias("_l"))
+    one = enough(each.groupBy(*by, "_l").agg(F.sum("_n").alias("freq")))
+    kept = each.join(one.select(*by, "_l"), [*by, "_l"], "left_semi").groupBy(*by, "_kind", "_n").agg(F.sort_array(F.collect_list("_l")).alias("_labels"))
+    held = kept.select("*", F.explode(F.transform("_labels", lambda x: F.array(x))).alias("itemset"))
+    found = one.select(*by, F.array("_l").alias("itemset"), "freq")
+    while True:
+        longer = F.transform(F.filter("_labels", lambda x: x > F.element_at("itemset", -1)), lambda x: F.array_append("itemset", x))
+        wide = held.select(*by, "_kind", "_n", "_labels", F.explode(longer).alias("itemset"))
+        level = written(enough(wide.groupBy(*by, "itemset").agg(F.sum("_n").alias("freq"))), "level")
+        if not level.take(1):
+            return found
+        found = found.unionByName(level)
+        held = written(wide.join(level.select(*by, "itemset"), [*by, "itemset"], "left_semi"), "held")
+
+
 def maximal(found: DataFrame, by: list[str] | None = None, key: str = "itemset") -> DataFrame:
     """The patterns that no other contains. Frequent sets are closed downwards, so a set that isn't maximal is another
     one less a single label: an equality join finds it."""

@@ -5,6 +5,8 @@ places on both sides, arrays are joined to strings."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +59,23 @@ def _q(name: str, sql: str | None = None):
     return add
 
 
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _held(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """A table that many queries start from, written once an application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _HELD or not tables.exists(spark, _HELD[key].inputFiles()[0]):
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return nb.normalize(tables.orders_as_cells(spark, d))
+    return _held(spark, d, "cells", lambda: nb.normalize(tables.orders_as_cells(spark, d)))
 
 
 def expr(spark: SparkSession, d: str) -> DataFrame:
-    return tables.expression(tables.orders_as_expression(spark, d), tables.orders_as_cells(spark, d))
+    return _held(spark, d, "expr", lambda: tables.written(tables.expression(tables.orders_as_expression(spark, d), tables.orders_as_cells(spark, d)), "expression"))
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -103,10 +116,7 @@ def s4(spark, d):
 
 @_q("s9_save_and_load", INDEX_SQL.replace("string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY cell_id) AS cell_ids, ", ""))
 def s9(spark, d):
-    import tempfile
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomfield-")
-    path = f"{folder.rstrip('/')}/loomfield/index-{abs(hash(d)) % 10**9}"
+    path = f"{tables.shared_folder(spark)}/index-{uuid.uuid4().hex}"
     tables.save(gi.build(expr(spark, d)), path)
     return _r(tables.load(spark, path).drop("cell_ids"), "mu", "sigma")
 
@@ -310,8 +320,7 @@ sup AS (SELECT dataset, n.fov, motifs.motif, CASE WHEN n > 0 THEN coalesce(hits,
 
 @_q("a11_motif_support", SUPPORT_SQL + " SELECT dataset, fov, array_to_string(motif, '+') AS itemset, round(support, 6) AS support FROM sup")
 def a11(spark, d):
-    motifs = spark.range(1).select(F.explode(enr._motifs(MOTIFS)).alias("itemset"))
-    return _patterns(enr.motif_supports(cells(spark, d), CT, motifs, R))
+    return _patterns(enr.motif_supports(cells(spark, d), CT, enr._motifs(spark, MOTIFS), R))
 
 
 @_q("a14_label_distribution", "SELECT dataset, label, n, round(n / sum(n) OVER (PARTITION BY dataset), 6) AS proportion FROM (SELECT dataset, label, count(*) AS n FROM raw GROUP BY ALL)")

@@ -12,21 +12,41 @@ FORMAT_VERSION = 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master, which has
+    one disk, gets a temporary folder; a cluster raises RuntimeError."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomfield.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomfield-")
         spark.conf.set("loomfield.shared.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/loomfield/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: what several parts of a plan need is computed once, and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/loomfield/{label}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: what several parts of a plan need is computed once, and outlives executors.
+    discard() removes what an application wrote."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _hadoop_path(spark, path)
+    return files.exists(where)
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes all tables that written() made in this application. Frames that still read them fail afterwards."""
+    where, files = _hadoop_path(spark, shared_folder(spark))
+    files.delete(where, True)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,19 @@ def test_coincident_and_alone(spark):
         nb.neighbors(far, far)
 
 
+def test_many_rounds(spark):
+    began = time.time()
+    rows = [("A", float(2**i), 0.0) for i in range(16)]
+    got = {r.cell_id: r.dist2 for r in nb.nearest_distance(points(spark, rows)).collect()}
+    assert got == {i: (2.0 ** max(0, i - 1)) ** 2 for i in range(16)}
+    rng = random.Random(2)
+    rows = [("A", rng.gauss(0, 1e-4), rng.gauss(0, 1e-4)) for _ in range(300)] + [("B", rng.uniform(-1e3, 1e3), rng.uniform(-1e3, 1e3)) for _ in range(20)]
+    got = {r.cell_id: r.dist2 for r in nb.nearest_distance(points(spark, rows)).collect()}
+    for i, (_, x, y) in enumerate(rows):
+        assert math.isclose(got[i], min((x - u) ** 2 + (y - v) ** 2 for j, (_, u, v) in enumerate(rows) if j != i), rel_tol=1e-9)
+    assert time.time() - began < 60
+
+
 def test_radius_is_brute_force(cloud):
     rows, cells = cloud
     for r in (0.7, 3.0):
@@ -69,8 +84,25 @@ def test_growth_is_enumeration(spark, monkeypatch):
     rng = random.Random(5)
     sets = spark.createDataFrame([("d", "f", i, sorted(rng.sample("abcdef", rng.randint(1, 5)))) for i in range(200)], "dataset string, fov string, center_id long, labels array<string>")
     plain = {(tuple(r.itemset), r.freq) for r in pat.mine(sets, 0.2).collect()}
+    grouped = {(tuple(r.itemset), r.freq) for r in pat.mine(sets, 0.2, ["fov"]).collect()}
     monkeypatch.setattr(pat, "ENUMERATED", 0)
     assert plain == {(tuple(r.itemset), r.freq) for r in pat.mine(sets, 0.2).collect()}
+    assert plain == grouped == {(tuple(r.itemset), r.freq) for r in pat.mine(sets, 0.2, ["fov"]).collect()}
+
+
+def test_wide_neighbourhoods_by_group(spark):
+    rng = random.Random(6)
+    names = [f"{i:02d}" for i in range(34)]
+    rows = [("d", f"f{i % 2}", i, sorted(rng.sample(names[:30] if i % 2 else names[4:], 30 if i % 4 == 0 else 6))) for i in range(400)]
+    found = pat.mine(spark.createDataFrame(rows, "dataset string, fov string, center_id long, labels array<string>"), 0.52, ["fov"]).collect()
+    assert found
+    for fov in ("f0", "f1"):
+        own = [set(r[3]) for r in rows if r[1] == fov]
+        got = {tuple(r.itemset): r.freq for r in found if r.fov == fov}
+        ones = [x for x in names if sum(x in s for s in own) >= 0.52 * len(own)]
+        for n in (1, 2):
+            want = {c: k for c in itertools.combinations(ones, n) if (k := sum(s.issuperset(c) for s in own)) >= 0.52 * len(own)}
+            assert {c: k for c, k in got.items() if len(c) == n} == want
 
 
 def test_maximal(spark):
@@ -101,7 +133,7 @@ def test_enrichment_edges(spark):
     with pytest.raises(ValueError):
         enr.enrichment(cells, "Z", ["B"], 1.0)
     assert enr.enrichment(cells, "A", None, 0.1).count() == 0  # nothing found
-    twice = enr.motif_counts(cells, nb.radius_join(cells, 9.0), "A", [["A", "A"]]).first()
+    twice = enr.motif_counts(cells, nb.radius_join(cells, 9.0), "A", enr._motifs(spark, [["A", "A"]])).first()
     assert twice.n_center == 1
 
 
