@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 
 
 #: White space as the tokenizers' pattern language has it.
-_S = r"\t-\r \x85\xA0  -     　"
+WHITE = r"\t-\r \x85\xA0  -     　"
 
 
 #: Letters and numbers of Unicode 16, which the tokenizers library knows and unicodedata doesn't; lower case new with Unicode 16 and 17.
@@ -79,10 +79,10 @@ class Vocabulary:
         self.exact = self._pattern(f"[\\p{{L}}--[{newer}]]", f"[\\p{{N}}--[{newer}]]", newer) if newer else self.split
 
     def _pattern(self, letter: str, number: str, newer: str) -> regex.Pattern:
-        other = rf"(?:[^{_S}\p{{L}}\p{{N}}]|[{newer}])+" if newer else rf"[^{_S}\p{{L}}\p{{N}}]+"
+        other = rf"(?:[^{WHITE}\p{{L}}\p{{N}}]|[{newer}])+" if newer else rf"[^{WHITE}\p{{L}}\p{{N}}]+"
         if self.end:
             return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}")
-        return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}|[{_S}]+(?![^{_S}])|[{_S}]+")
+        return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
     def pieces(self, text: str) -> list[str]:
         """text cut at special strings, which stand at the odd places."""

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from .bpe import tokenizer_path, vocabulary
 from .common import table
-from .packing import encoder
+from .packing import encode_plain, encoder
 
 #: Control strings; their ids follow the vocabulary's, in this order.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]"]
@@ -46,7 +46,7 @@ class Template:
         self.first = first
 
     def _encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(escape(text), disallowed_special=())
+        return encode_plain(self.encoding, escape(text))
 
     def turn(self, role: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a turn and its loss mask: 1 on the text of an assistant. The mask is the prefix sum of +1 where a

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import written as materialize
+
+__all__ = ["SPACE", "let", "materialize", "scan", "ship", "table"]
+
 #: ASCII white space, as the contracts define words. Written for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -34,29 +37,33 @@ def ship(spark: SparkSession) -> None:
     context._loomfield_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomfield.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomfield-")
-        spark.conf.set("loomfield.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomfield/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row. An alias doesn't do: inside a lambda the optimizer may put the
     expression back in its place, where it would run again for each element."""
     return F.transform(F.array(value), body)[0]
 
 
-def words(text: Column) -> Column:
-    """The words of a text: maximal runs of anything but ASCII white space."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running results of an associative op over an array, the first element's own first.
+
+    In chunks of the root of the length: each chunk's own running results, and those of the chunks' last ones before it.
+    So an element is copied as often as a chunk is long, not as often as the array is."""
+
+    def fold(v: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.when(F.size(acc) == 0, F.array(x)).otherwise(F.array_append(acc, op(F.element_at(acc, -1), x)))
+
+        return F.aggregate(v, F.slice(v, 1, 0), step)
+
+    def chunked(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda i: i * size + 1)
+        return let(F.transform(starts, lambda at: fold(F.slice(v, at, size))), joined)
+
+    def joined(chunks: Column) -> Column:
+        def shifted(ends: Column) -> Column:
+            return F.flatten(F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(F.transform(c, lambda x: op(F.get(ends, i - 1), x)))))
+
+        return let(fold(F.transform(chunks, lambda c: F.element_at(c, -1))), shifted)
+
+    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(chunked(v)))

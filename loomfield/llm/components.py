@@ -11,7 +11,8 @@ from .common import materialize
 def _stars(links: DataFrame, small: bool) -> DataFrame:
     """One star round over links (u > v). large: neighbours above a node go to its least neighbour; small: those below."""
     both = links if small else links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # A written table: the skew join splits a node with very many links only if both sides come straight from a shuffle.
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = both.join(least, "u")
     if small:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,12 +17,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_SKIPPED = {"script", "style", "noscript", "template", "svg", "title", "textarea", "iframe", "select", "button", "canvas", "object", "math"}
+#: Elements whose text is raw up to their own end tag, and dropped.
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+#: Elements whose whole subtree is dropped; what is round them stays one block.
+_DROPPED = {"noscript", "template", "svg", "select", "button", "canvas", "object", "datalist", "audio", "video"}
+#: Start tags that end a dropped element which was never closed.
+_OPENERS = {"article", "main", "section", "header", "footer", "nav", "aside", "body"}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr",
+    "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "mfrac", "msqrt", "msubsup", "mover", "munder", "semantics",
 }
 #: Open elements that a start tag ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -60,87 +69,180 @@ def _kind(attributes: str) -> str:
     return min(found, key=_ORDER.__getitem__) if found else "none"
 
 
+class _Tags:
+    """The tags of a page, in one pass. A tag ends at the first > outside quotes. Quotes that aren't closed by the end
+    of the page are no quotes: from then on a tag ends at the first >, so no part of a page is read twice."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, True
+        self.last = html.rfind(">")
+
+    def __call__(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, name, attributes) of the next tag, with an empty name for comments and
+        declarations; None if there is none."""
+        html = self.html
+        while True:
+            start = html.find("<", at)
+            if start >= self.last:
+                start = html.find("<!--", start)
+            if start < 0:
+                return None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, False, "", ""
+            if html[start + 1] in "!?":
+                return start, html.find(">", start) + 1, False, "", ""
+            ending = html[start + 1] == "/"
+            name = _NAME.match(html, start + 1 + ending)
+            if not name:
+                at = start + 1
+                continue
+            end = self._end(name.end())
+            return start, end + 1, ending, name[0].lower(), html[name.end() : end]
+
+    def _end(self, begin: int) -> int:
+        html, at = self.html, begin
+        while self.quotes:
+            at = _PLAIN.match(html, at).end()
+            if at < len(html) and html[at] == ">":
+                return at
+            at = html.find(html[at], at + 1) + 1 if at < len(html) else 0
+            if not at:
+                self.quotes = False
+        return html.find(">", begin)
+
+
+#: Kinds of names by which an inline element or a link becomes a node of its own.
+_TELLING = {"ad", "notice", "comment", "share", "hidden", "nav", "form", "side"}
+
+
 class Tree:
-    """Block elements of one page, and their runs of text in page order."""
+    """Block elements of one page, with those inline elements whose names say that they are no main text, and the
+    page's runs of text in page order: a run is the text of one block, in pieces by node."""
 
     __slots__ = ("tags", "attributes", "parents", "depths", "runs", "linked")
 
     def __init__(self, html: str):
         self.tags, self.attributes, self.parents, self.depths = ["#page"], [""], [-1], [0]
-        self.runs: list[tuple[int, str]] = []
+        self.runs: list[list[tuple[int, str]]] = []
         self.linked: dict[int, int] = {}
-        tags, open_nodes, parts, at, links = self.tags, [0], [], 0, 0
+        tags, open_nodes, parts, links, dropped = self.tags, [0], [], 0, []
+        places: dict[str, list[int]] = {}  # where in open_nodes each tag is open
 
         def close() -> None:
-            if parts:
-                if text := " ".join("".join(parts).split()):
-                    self.runs.append((open_nodes[-1], text))
-                parts.clear()
+            if any(not text.isspace() for _, text in parts):
+                self.runs.append(parts.copy())
+            parts.clear()
 
         def add(text: str) -> None:
+            if dropped or not text:
+                return
             text = unescape(text) if "&" in text else text
-            parts.append(text)
+            parts.append((open_nodes[-1], text))
             if links and (n := len(text.strip())):
                 self.linked[open_nodes[-1]] = self.linked.get(open_nodes[-1], 0) + n
 
-        def pop(names: set[str]) -> None:
+        def push(name: str, attributes: str | None = None, drop: bool = False) -> None:
+            """Opens an element; without attributes it is no node, and its text is that of the node round it."""
+            if attributes is not None:
+                tags.append(name)
+                self.attributes.append(attributes)
+                self.parents.append(open_nodes[-1])
+                self.depths.append(self.depths[open_nodes[-1]] + 1)
+            places.setdefault(name, []).append(len(names))
+            if drop:
+                dropped.append(len(names))
+            if name not in _INLINE:
+                blocks.append(len(names))
+            open_nodes.append(open_nodes[-1] if attributes is None else len(tags) - 1)
+            names.append(name)
+
+        def cut(i: int) -> None:
+            """Ends the open elements from place i on."""
+            while len(open_nodes) > i:
+                open_nodes.pop()
+                places[names.pop()].pop()
+            for stack in (dropped, blocks):
+                while stack and stack[-1] >= i:
+                    stack.pop()
+
+        def pop(wanted: set[str]) -> None:
             """Ends the innermost open elements up to one of those, unless a scope is in between."""
             for i in range(len(open_nodes) - 1, 0, -1):
-                tag = tags[open_nodes[i]]
-                if tag in names:
-                    close()
-                    del open_nodes[i:]
+                if names[i] in wanted:
+                    cut(i)
                     return
-                if tag in _SCOPE:
+                if names[i] in _SCOPE:
                     return
 
+        names, blocks, at, next_tag = ["#page"], [], 0, _Tags(html)
         while True:
-            m = _TOKEN.search(html, at)
-            if not m:
+            found = next_tag(at)
+            if found is None:
                 add(html[at:])
                 break
-            if m.start() > at:
-                add(html[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+            start, end, ending, name, attributes = found
+            add(html[at:start])
+            at = end
             if not name:
                 continue
-            name, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if name in _INLINE:
-                if name == "a":
-                    links = 0 if ending else 1
-                continue
-            if name in _SKIPPED:
+            if name in _RAW:
                 if not ending and not attributes.endswith("/"):
-                    end = re.compile(f"</{re.escape(name)}\\s*[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                parts.append(" ")
+                    over = re.compile(f"</{re.escape(name)}(?![^\\s/>])", re.I).search(html, at)
+                    at = len(html) if over is None else over.start()
                 continue
             if name in _VOID:
-                parts.append(" ")
-                if name == "hr":
+                if name == "br":
+                    add(" ")
+                elif name == "hr":
                     close()
                 continue
-            close()
+            if name in _INLINE:
+                if ending:
+                    if name == "a":
+                        links = 0
+                    if places.get(name) and not (blocks and blocks[-1] > places[name][-1]):
+                        cut(places[name][-1])
+                    continue
+                if name == "a":
+                    links = 1
+                if attributes.endswith("/"):
+                    continue
+                if attributes and not places.get("pre") and _kind(attributes) in _TELLING:
+                    push(name, attributes)
+                elif places.get(name):
+                    push(name)
+                continue
+            if name in _DROPPED:
+                if ending:
+                    if places.get(name):
+                        cut(places[name][-1])
+                elif not attributes.endswith("/"):
+                    push(name, drop=True)
+                continue
+            if dropped and not ending and name in _OPENERS:
+                cut(dropped[0])
+            if not dropped:
+                close()
             links = 0
             if ending:
-                for i in range(len(open_nodes) - 1, 0, -1):
-                    if tags[open_nodes[i]] == name:
-                        del open_nodes[i:]
-                        break
+                if places.get(name):
+                    cut(places[name][-1])
                 continue
-            if tags[open_nodes[-1]] == "p":
-                open_nodes.pop()
+            if names[-1] == "p":
+                cut(len(names) - 1)
             if name in _ENDS:
                 pop(_ENDS[name])
-            tags.append(name)
-            self.attributes.append(attributes)
-            self.parents.append(open_nodes[-1])
-            self.depths.append(len(open_nodes))
-            if not attributes.endswith("/"):
-                open_nodes.append(len(tags) - 1)
+            push(name, attributes)
+            if attributes.endswith("/"):
+                cut(len(names) - 1)
         close()
 
+    def text(self, kept: np.ndarray) -> str:
+        """The text of the kept nodes: white space inside a block is one space, blocks are joined by one."""
+        blocks = (" ".join("".join(text for node, text in run if kept[node]).split()) for run in self.runs)
+        return " ".join(x for x in blocks if x)
+
 
 _TAGS = ("#page html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr td th figure figcaption nav header footer aside form fieldset address details summary center dialog other").split()
 _TAG_OF = {t: i for i, t in enumerate(_TAGS)}
@@ -154,9 +256,14 @@ _MARKS = re.compile(r"[.!?…。]['\"”’)]?(?:\s|$)")
 def _features(tree: Tree) -> np.ndarray:
     n = len(tree.tags)
     length, marks = [0] * n, [0] * n
-    for node, text in tree.runs:
-        length[node] += len(text)
-        marks[node] += len(_MARKS.findall(text))
+    for run in tree.runs:
+        own: dict[int, list[str]] = {}
+        for node, text in run:
+            own.setdefault(node, []).append(text)
+        for node, texts in own.items():
+            text = " ".join("".join(texts).split())
+            length[node] += len(text)
+            marks[node] += len(_MARKS.findall(text))
     out = np.zeros((n, len(SIZES)), np.int64)
     other, tag_of, kind_at, linked = _TAG_OF["other"], _TAG_OF, _KIND_AT, tree.linked
     for i in range(n):
@@ -182,7 +289,13 @@ class Model:
     A node is content if it has main text itself or below. Trained by counting on labelled pages, one count added to
     each cell, with features taken as independent given the label."""
 
-    def __init__(self, pages: list[tuple[Tree, np.ndarray]]):
+    def __init__(self, moves: np.ndarray, seen: list[np.ndarray]):
+        self.counts = moves, seen
+        self.moves = np.log(moves / moves.sum(axis=2, keepdims=True))
+        self.seen = [np.log(x / x.sum(axis=1, keepdims=True)) for x in seen]
+
+    @classmethod
+    def fitted(cls, pages: Iterable[tuple[Tree, np.ndarray]]) -> Model:
         moves = np.ones((4, 2, 2))
         seen = [np.ones((2, size)) for size in SIZES]
         for tree, labels in pages:
@@ -191,8 +304,7 @@ class Model:
             np.add.at(moves, (_groups(features)[parents], labels[parents], labels[1:]), 1)
             for f, values in enumerate(features.T):
                 np.add.at(seen[f], (labels, values), 1)
-        self.moves = np.log(moves / moves.sum(axis=2, keepdims=True))
-        self.seen = [np.log(x / x.sum(axis=1, keepdims=True)) for x in seen]
+        return cls(moves, seen)
 
     def marginals(self, trees: list[Tree]) -> list[np.ndarray]:
         """P(content) of each node of each tree, by messages up and then down, level by level over all trees at once."""
@@ -268,6 +380,9 @@ def labelled_page(rng: random.Random) -> str:
         for _ in range(rng.randint(0, 2)):
             i = rng.randrange(len(words))
             words[i] = rng.choice([f"<b>{words[i]}</b>", f'<a href="/x">{words[i]}</a>', f"<em>{words[i]}</em>", f"{words[i]} &amp; {words[i]}"])
+        if some(0.03):
+            names = "ad sponsored promo share hidden comment-count cookie-notice related newsletter-signup"
+            words.insert(rng.randrange(len(words)), named("span", names, 0) + rng.choice([text(1, 1), word(3), f'<a href="#">{word(2)}</a>']) + "</span>")
         return " ".join(words)
 
     def piece() -> str:
@@ -335,12 +450,21 @@ def gold(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     return labels, own
 
 
-@lru_cache(maxsize=2)
-def trained(pages: int = 1500, seed: int = 7) -> Model:
+def fit(pages: int = 1500, seed: int = 7) -> Model:
     """The model fitted on so many labelled pages: a bounded sample, made here; no page of the input is looked at."""
     rng = random.Random(seed)
-    trees = [Tree(labelled_page(rng)) for _ in range(pages)]
-    return Model([(t, gold(t)[0]) for t in trees])
+    trees = (Tree(labelled_page(rng)) for _ in range(pages))
+    return Model.fitted((t, gold(t)[0]) for t in trees)
+
+
+COUNTS = Path(__file__).with_name("html_counts.json")
+
+
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of the counts beside this module, which `python -m loomfield.llm.html` makes by fit()."""
+    held = json.loads(COUNTS.read_text())
+    return Model(np.array(held["moves"]), [np.array(x) for x in held["seen"]])
 
 
 def extract(pages: list[str | None], model: Model, threshold: float = 0.5) -> list[str]:
@@ -348,7 +472,7 @@ def extract(pages: list[str | None], model: Model, threshold: float = 0.5) -> li
     trees = [Tree(html or "") for html in pages]
     if not trees:
         return []
-    return [" ".join(text for node, text in t.runs if p[node] > threshold) for t, p in zip(trees, model.marginals(trees), strict=True)]
+    return [t.text(p > threshold) for t, p in zip(trees, model.marginals(trees), strict=True)]
 
 
 def main_text(html: Column, threshold: float = 0.5) -> Column:
@@ -369,3 +493,8 @@ def main_text(html: Column, threshold: float = 0.5) -> Column:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = table(spark, sf_dir, "pages").select("page_id", "url", main_text(F.col("html")).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+if __name__ == "__main__":
+    moves, seen = fit().counts
+    COUNTS.write_text(json.dumps({"moves": moves.tolist(), "seen": [x.tolist() for x in seen]}) + "\n")

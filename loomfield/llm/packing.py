@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .bpe import tokenizer_path, vocabulary
+from .bpe import WHITE, tokenizer_path, vocabulary
 from .common import materialize, table
 
 #: Pieces that one task ranks, about.
@@ -26,12 +26,15 @@ RANKED = 50_000
 class Capacities:
     """What a bin holds at most: tokens, documents, and attention cost, the sum of squared lengths. `weights` say how
     much each counts in the choice of a bin; rule is 'norm' (least weighted residual after the piece is in) or 'dot'
-    (largest weighted product of the piece and the residual before)."""
+    (largest weighted product of the piece and the residual before).
+
+    The limits of documents and attention follow from that of tokens unless they are set lower; then they bind, and
+    more bins may be needed."""
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 
@@ -48,10 +51,31 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, re.Pattern, dict[str, int]]:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), re.compile("(" + "|".join(map(re.escape, v.specials)) + ")"), v.specials
 
 
+#: White space runs from this length on are cut out before the pattern sees them: its lookahead backtracks over them.
+RUN = 1000
+_RUNS = re.compile(f"[{WHITE}]{{{RUN},}}")
+
+
+def encode_plain(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text without special strings, with white space runs of any length.
+
+    No word takes white space at its end, and of a run before a word only the last character can go with the word. So
+    the pattern makes one piece of the run before that (of all of it at the text's end), and starts anew after it."""
+    if len(text) < RUN:
+        return encoding.encode_to_numpy(text, disallowed_special=())
+    parts, at = [], 0
+    for m in _RUNS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        parts += [encoding.encode_to_numpy(text[at : m.start()], disallowed_special=()), np.array(encoding._core_bpe.encode_single_piece(text[m.start() : end].encode()), np.uint32)]
+        at = end
+    parts.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts)
+
+
 def encode(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text as the tokenizers library gives them without added special tokens. Null: none."""
     encoding, special, ids = encoder(path)
-    parts = [np.array([ids[x]], np.uint32) if i % 2 else encoding.encode_to_numpy(x, disallowed_special=()) for i, x in enumerate(special.split(text or ""))]
+    parts = [np.array([ids[x]], np.uint32) if i % 2 else encode_plain(encoding, x) for i, x in enumerate(special.split(text or ""))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

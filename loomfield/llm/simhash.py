@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from .components import components
 BLOCK = 4096
 #: Distances that are computed in one go.
 CHUNK = 2_000_000
+#: Distances that cost as much as a row that is shuffled.
+ROW = 30
 #: MinHash bands and values in each: a pair with a Jaccard index of 0.8 shares none with probability 7e-5.
 BANDS, ROWS = 24, 5
 #: Shingles whose MinHash values are computed in one go.
@@ -68,6 +71,21 @@ def segments(count: int) -> list[tuple[int, int]]:
     return out
 
 
+def work(n: float, within: int, count: int) -> float:
+    """What a row costs with `count` segments among n: rows that ask, each as dear as ROW distances, and the distances."""
+    out = 0.0
+    for _, bits in segments(count):
+        asks = (1 + sum(comb(bits, r) for r in range(within // count + 1))) / 2
+        out += asks * (ROW + n / 2**bits)
+    return out
+
+
+def fitting(n: int, within: int) -> int:
+    """The number of segments that is cheapest among n values: narrow ones with single keys while the tables are small,
+    few wide ones with balls as they fill up, so that the work of a row hardly grows. The links found are the same."""
+    return min(range(2, within + 2), key=lambda count: work(n, within, count))
+
+
 def _ball(bits: int, radius: int) -> list[int]:
     """Masks of at most `radius` of `bits` bits."""
     return [sum(1 << b for b in picked) for r in range(radius + 1) for picked in combinations(range(bits), r)]
@@ -120,7 +138,7 @@ def _segment(prints: DataFrame, s: int, shift: int, bits: int, radius: int) -> t
     return kept, asks
 
 
-def near_links(prints: DataFrame, within: int = 4, count: int = 3, block: int = BLOCK) -> DataFrame:
+def near_links(prints: DataFrame, within: int = 4, count: int | None = None, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all values of the long column `f` at `within` differing bits or fewer.
 
     Multi-index hashing: with `count` segments, two values within reach differ by at most within // count bits in one
@@ -128,8 +146,10 @@ def near_links(prints: DataFrame, within: int = 4, count: int = 3, block: int =
     its own; of the two directions only the one in which the highest changed bit is gained is asked: the pair is the same.
     Whole distances are then verified. The pairs of a crowded key aren't emitted: a task sends on only the links of a
     spanning star for each chunk of distances, so a group of m values gives about m links. A key with over `block`
-    values is dealt to several blocks of its table, each of which gets all that ask for it."""
-    prints = prints.select("f").distinct()
+    values is dealt to several blocks of its table, each of which gets all that ask for it. Without `count` it is
+    fitting() for the number of values."""
+    prints = materialize(prints.select("f").distinct(), "prints")
+    count = count or fitting(prints.count(), within)
     parts = [_segment(prints, s, shift, bits, within // count) for s, (shift, bits) in enumerate(segments(count))]
     tables = reduce(DataFrame.unionByName, [kept for kept, _ in parts])
     rows = reduce(DataFrame.unionByName, [x for part in parts for x in part])
@@ -165,20 +185,23 @@ def near_links(prints: DataFrame, within: int = 4, count: int = 3, block: int =
     return rows.mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, within: int = 4, count: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, within: int = 4, count: int | None = None) -> DataFrame:
     """(doc_id, text_hash, f, root, component_id) for each row of docs; other columns of docs are not looked at.
 
     f is the fingerprint, root the least fingerprint of the component. Null or empty texts, or those without words,
     have fingerprint 0 and link like any other. Rows that repeat stay, each with the same component. component_id is
-    the least doc_id of the component, null if it has none. An empty table gives an empty table."""
+    the least doc_id of the component, null if it has none. An empty table gives an empty table.
+
+    Fingerprints are joined back from a written table, so that one which very many rows have is a skewed key that the
+    skew join can split, or the table is small and goes to all."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint(F.col(text), width).alias("f"))
     own = materialize(own, "simhash")
-    least = own.groupBy("f").agg(F.min("doc_id").alias("first"))
-    found = components(near_links(own, within, count))
-    root = least.join(found.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    root = materialize(root, "roots")
-    names = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(root.join(names, "root").select("f", "root", "component_id"), "f").select("doc_id", "text_hash", "f", "root", "component_id")
+    least = materialize(own.groupBy("f").agg(F.min("doc_id").alias("first")), "prints")
+    found = components(near_links(least, within, count))
+    root = materialize(least.join(found.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f")), "roots")
+    names = materialize(root.groupBy("root").agg(F.min("first").alias("component_id")), "names")
+    root = materialize(root.join(names, "root").select("f", "root", "component_id"), "roots")
+    return own.join(root, "f").select("doc_id", "text_hash", "f", "root", "component_id")
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -203,17 +226,21 @@ def bands(hashes: np.ndarray, count: int = BANDS, rows: int = ROWS) -> list[int]
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(least.astype("<u8").reshape(count, rows))]
 
 
-def alike(sets: list[np.ndarray], least: float = 0.8) -> list[int]:
+def alike(sets: list[np.ndarray], least: float = 0.8, classes: list[int] | None = None) -> list[int]:
     """For each set of distinct values the place of the first set of its component, where sets with a Jaccard index of
-    `least` or more are linked. Each set is held against all that are not yet in a component: no pair is left out."""
+    `least` or more are linked, and sets of one class are. Each set is held against all that are not yet in its
+    component: no pair is left out."""
     sizes = np.array([len(x) for x in sets], np.int64)
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     root, open_ = np.full(len(sets), -1), np.arange(len(sets))
+    kind = np.arange(len(sets)) if classes is None else np.unique(classes, return_inverse=True)[1]
     mark = np.zeros(len(values), np.int64)
     while len(open_):
-        first, todo, open_ = open_[0], [open_[0]], open_[1:]
-        root[first] = first
+        first = open_[0]
+        joined = kind[open_] == kind[first]
+        todo, open_ = open_[joined].tolist(), open_[~joined]
+        root[todo] = first
         own = None  # the open sets' values, laid end to end
         while todo and len(open_):
             if own is None:
@@ -227,47 +254,67 @@ def alike(sets: list[np.ndarray], least: float = 0.8) -> list[int]:
             mark[at] = 0
             near = both >= least * (sizes[x] + n - both) - 1e-9
             if near.any():
+                near = np.isin(kind[open_], kind[open_[near]])
                 root[open_[near]] = first
                 todo.extend(open_[near].tolist())
                 open_, own = open_[~near], None
     return root.tolist()
 
 
+def star_links(sets: DataFrame, keys: DataFrame, least: float = 0.8) -> DataFrame:
+    """Links (a, b) of those u that are alike to the least u of a key that they share. A row for each two that meet,
+    once however many keys they share; the sets are compared in the JVM."""
+    lead = materialize(keys.groupBy("k").agg(F.min("u").alias("lead")), "leads")
+    pairs = materialize(keys.join(lead, "k").where("u <> lead").select("u", "lead").distinct(), "stars")
+    leads = materialize(sets.join(pairs.select(F.col("lead").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("lead"), F.col("shingles").alias("_t")), "leads")
+    both = materialize(pairs.join(sets, "u"), "stars").join(leads, "lead")
+    same = F.size(F.array_intersect("shingles", "_t"))
+    near = same >= least * (F.size("shingles") + F.size("_t") - same) - 1e-9
+    return both.where(near).select(F.col("u").alias("a"), F.col("lead").alias("b"))
+
+
 def alike_links(sets: DataFrame, keys: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect those u of sets (u, shingles) that share a key of keys (u, k) and are alike to `least`.
+    """Links (a, b) that, with those of star_links(), connect the u of sets (u, shingles) that share a key of keys (u, k)
+    and are alike to `least`.
 
-    Keys with the same members are one. A key's members meet in one task, which links them by exact Jaccard index; the
-    members of a key with over `block` are dealt to blocks, and each two blocks meet."""
+    Most near copies are alike to the least of a key, so stars come first. A key all of whose members are then in one
+    component is done. Of the others, those with the same members are one; a key's members meet in one task, which
+    compares the sets of different components by exact Jaccard index. The members of a key with over `block` are dealt
+    to blocks, and each two blocks meet."""
     keys = keys.distinct()
-    members = keys.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("sum"), F.min("u").alias("low")).where("n > 1")
-    crowds = members.groupBy("n", "sum", "low").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    stars = materialize(star_links(sets, keys, least), "links")
+    classes = materialize(components(stars).withColumnRenamed("node", "u"), "classes")
+    keys = keys.join(classes, "u", "left").select("u", "k", F.coalesce("root", "u").alias("c"))
+    keys = materialize(keys, "keys")
+    members = keys.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("sum"), F.min("u").alias("low"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+    crowds = materialize(members.groupBy("n", "sum", "low").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowds")
     own = F.pmod(F.xxhash64("u"), F.col("blocks").cast("long")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != own)
     place = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own)))
-    rows = keys.join(crowds, "k").select("u", "k", F.explode(place).alias("block")).join(sets, "u")
+    rows = keys.join(crowds, "k").select("u", "k", "c", F.explode(place).alias("block")).join(sets, "u")
     rows = rows.repartition("k", "block").sortWithinPartitions("k", "block")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
-            if len(us) > 1:
-                roots = alike(held, least)
+            if len(set(kinds)) > 1:
+                roots = alike(held, least, kinds)
                 found = [(u, us[r]) for u, r in zip(us, roots, strict=True) if u != us[r]]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-        last, us, held = None, [], []
+        last, us, kinds, held = None, [], [], []
         for batch in batches:
-            names = {x: i for i, x in enumerate(batch.schema.names)}
-            lists = batch.column(names["shingles"])
-            for i, (u, *key) in enumerate(zip(*(batch.column(names[x]).to_pylist() for x in ("u", "k", "block")), strict=True)):
+            lists = batch.column(4)
+            for i, (u, c, *key) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True)):
                 if key != last:
                     yield from close()
-                    last, us, held = key, [], []
+                    last, us, kinds, held = key, [], [], []
                 us.append(u)
+                kinds.append(c)
                 held.append(np.array(lists[i].values.to_numpy(zero_copy_only=False)))
         yield from close()
 
-    return rows.select("u", "k", "block", "shingles").mapInArrow(link, "a long, b long")
+    return rows.select("u", "c", "k", "block", "shingles").mapInArrow(link, "a long, b long").unionByName(stars)
 
 
 def sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -282,7 +329,7 @@ def sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.withColumn("_s", of(F.col(text))).select("*", "_s.u", "_s.bands").drop("_s")
 
 
-def verified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 8, count: int = 5, least: float = 0.8) -> DataFrame:
+def verified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 4, count: int | None = None, least: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, root) for each row of docs: texts whose sets of shingles have a Jaccard index of `least` or
     more are linked, and root names the component.
 
@@ -312,7 +359,7 @@ def verified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     return out.select("doc_id", "text_hash", F.coalesce("root", "u").alias("root"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 8, count: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, within: int = 4, count: int | None = None, least: float = 0.8) -> DataFrame:
     """docs without all but one row of each group of near duplicates, as verified() finds them: that with the least
     doc_id, or, of rows with the same doc_id or none, with the least hash of its text; of rows alike in both, any.
     Columns come back as they are."""

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,8 @@ import corpus_pipeline
 from loomfield.llm import bpe, chat, html, imatch, packing, quality, secrets, sharding, simhash
 from loomfield.llm.components import components
 
+from .pages import PAGES
+
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, f string, k string, rules string, length string, _spans string"
 
@@ -78,12 +82,48 @@ def test_held_out_pages():
     right = total = 0
     for tree, p in zip(trees, html.trained().marginals(trees), strict=True):
         own = html.gold(tree)[1]
-        for node, text in tree.runs:
+        for node, text in itertools.chain(*tree.runs):
             total += len(text)
             right += len(text) * (own[node] == (p[node] > 0.5))
     assert right > 0.93 * total
 
 
+def test_pages_of_other_layouts():
+    found = html.extract([page for page, _ in PAGES], html.trained())
+    same = got = want = 0
+    for text, (_, right) in zip(found, PAGES, strict=True):
+        a, b = Counter(text.split()), Counter(right.split())
+        same, got, want = same + (a & b).total(), got + a.total(), want + b.total()
+    assert same / got > 0.95 and same / want > 0.9
+    assert sum(text == right for text, (_, right) in zip(found, PAGES, strict=True)) >= 8
+
+
+def test_counts_are_those_of_the_fit():
+    for a, b in zip(html.fit().seen, html.trained().seen, strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_reading_is_linear():
+    began = time.time()
+    for page in ('<a "' * 250_000, '<a ">"' * 170_000 + '"', "<a " * 300_000, "<" * 1_000_000, "<!--" * 250_000, "<span class=ad>" + "<div></span>" * 50_000, "<center>" * 3000 + "<tr>" * 30_000):
+        html.Tree(page)
+    assert time.time() - began < 14  # under two seconds each
+
+
+def test_reading():
+    def text(page):
+        return html.Tree(page).text(np.ones(1000, bool))
+
+    assert text("<p>extra<wbr>ordinary <img src=x>day</p>") == "extraordinary day"
+    assert text("<p>E = <math><mi>m</mi><mn>2</mn></math> ok") == "E = m2 ok"
+    assert text("<p>1<button>no</button>2</p><div><select><option>x</div>y") == "12 y"
+    assert text("<button>Menu<article><p>hi</p></article>") == "hi"
+    assert text("a < b and c > d <!-- e") == "a < b and c > d"
+    assert text("<script>if (a < b) '</p>'</script><p>x<style>p{}</style>y") == "xy"
+    tree = html.Tree('<p>a <span class="ad">Buy <span>now</span>.</span> b</p>')
+    assert tree.tags == ["#page", "p", "span"] and tree.text(np.array([0, 1, 0])) == "a b"
+
+
 def test_marginals_are_sums_over_labels():
     model = html.trained()
     tree = html.Tree("<body><div class=ad>Buy now.</div><article><p>Words and words.</p><ul><li>x</ul></article></body>")
@@ -115,6 +155,19 @@ def test_tokenizers_on_noise(path, of):
             assert labels == library.decode(ids, skip_special_tokens=False), repr(text)
 
 
+def test_long_runs():
+    rng, library = random.Random(5), Tokenizer.from_file(BYTES)
+    texts = [" " * 2_000_000, "\n" * 2_000_000 + "x", "a" * 2_000_000, " " * 1500 + "123", "\u3000" * 1200 + "字", "\x1c" * 1200 + "a", "\r\n" * 3000 + "!!", " " * 1000 + "<|endoftext|>" + " " * 1000]
+    texts += ["".join(rng.choice([" " * 1000, "\n" * 1003, " x", "ab", "9", " \t" * 600, "</s>"]) for _ in range(4)) for _ in range(60)]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert packing.encode(text, BYTES).tolist() == ids
+    template = chat.Template(BYTES)
+    for text in texts[:3]:
+        ids, mask = template.turn("assistant", text)
+        assert template.read(ids) == ("assistant", text) and template.under_loss(ids, mask) == text
+
+
 def test_plan_holds_every_capacity():
     rng = random.Random(2)
     for limits in (packing.Capacities(), packing.Capacities(100, 3, 6000, (1.0, 0.5, 0.2)), packing.Capacities(100, 5, 10_000, (1.0, 1.0, 1.0), "dot")):

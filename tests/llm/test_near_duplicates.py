@@ -55,3 +55,21 @@ def test_crowded_keys_lose_none(spark):
     keys = spark.createDataFrame([(i, 1) for i in range(len(texts))], "u long, k long")
     for block in (4096, 7):
         assert classes(len(texts), [(r.a, r.b) for r in simhash.alike_links(sets, keys, 0.8, block).collect()]) == want
+
+
+def test_work_hardly_grows():
+    """Asks and distances of a row among ten times as many values: the segments widen as the tables fill up."""
+    works = [simhash.work(10**e, 4, simhash.fitting(10**e, 4)) for e in range(4, 12)]
+    print([round(w) for w in works])
+    assert works[-1] < 150 * works[0] and max(b / a for a, b in zip(works, works[1:], strict=False)) < 8
+
+
+def test_every_number_of_segments_finds_the_same(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    values = {v ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5))) for v in base for _ in range(4)}
+    frame = spark.createDataFrame([(v,) for v in values], "f long")
+    names = {v: i for i, v in enumerate(sorted(values))}
+    want = classes(len(values), [(names[a], names[b]) for a, b in itertools.combinations(sorted(values), 2) if (a ^ b).bit_count() <= 4])
+    for count in (2, 3, 5):
+        assert classes(len(values), [(names[r.a], names[r.b]) for r in simhash.near_links(frame, 4, count).collect()]) == want

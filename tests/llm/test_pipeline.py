@@ -20,11 +20,11 @@ def test_stages(spark, small):
     assert sum(verdicts[i] for i in good if i in verdicts) > 0.9 * len(good & set(verdicts))
 
     single = materialize(dedup(spark, kept, small), "t2")
-    prints = {r.doc_id: simhash.simhash(r.text, 5) for r in kept.collect()}
-    ids, root = sorted(prints), {i: i for i in prints}
+    sets = {r.doc_id: set(simhash.shingles(r.text, 5).tolist()) for r in kept.collect()}
+    ids, root = sorted(sets), {i: i for i in sets}
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if (prints[i] ^ prints[j]).bit_count() <= 8 and root[i] != root[j]:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if r == b else r for k, r in root.items()}
     assert {r.doc_id for r in single.collect()} == set(root.values())
