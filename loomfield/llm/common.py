@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomfield.sources.tables import written as materialize
 
-__all__ = ["SPACE", "let", "materialize", "scan", "ship", "table"]
+__all__ = ["SPACE", "fresh", "let", "materialize", "scan", "ship", "table"]
 
 #: ASCII white space, as the contracts define words. Written for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -37,6 +37,14 @@ def ship(spark: SparkSession) -> None:
     context._loomfield_shipped = True
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, or name with underscores after it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row. An alias doesn't do: inside a lambda the optimizer may put the
     expression back in its place, where it would run again for each element."""

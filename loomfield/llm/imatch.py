@@ -8,20 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table
+from .common import fresh, let, materialize, table
 
 #: Shares of the documents between which a term's document frequency must lie: the band of inverse frequencies.
 BAND = (0.001, 0.1)
-#: Terms that the lexicon holds at most; past that the band's lower share is doubled until it fits.
+#: Terms up to which the lexicon goes to every task as one row; a larger one is joined.
 LEXICON = 1_000_000
 #: Lookup buckets of the lexicon.
 BUCKETS = 1 << 14
-#: Lexicon subsets at each of a fingerprint's two densities.
-SUBSETS = 24
-#: Terms with the least hashes that always stand beside those in the band, and all terms with negative hashes do.
-FEWEST = 8
-#: Rows of one ordering block, about, and blocks along one side of the two-level bounds at most.
-BLOCK, SIDE = 4000, 64
+#: Lexicon subsets at each of a fingerprint's two densities, and seeded draws that each put a term in one of them or none.
+SUBSETS, SEEDS = 24, (101, 202, 303)
+#: Terms with the least hashes that always stand beside those in the band.
+FEWEST = 48
+#: Rows of one ordering block: at least, and at most once there are BLOCKS of them.
+BLOCK, LARGEST, BLOCKS = 4000, 200_000, 4096
 
 
 def terms(text: Column) -> Column:
@@ -30,21 +30,18 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, limit: int = LEXICON) -> DataFrame:
+def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """(term): hashes of the terms in the band, over all distinct texts, so that copies don't move a term out of it.
 
     A term in the band is in a share `low` of the documents at least, so there are at most (mean distinct terms a
-    document) / low of them however many documents there are; the limit is checked all the same."""
+    document) / low of them however many documents there are. Null texts count as one empty text; repeated rows don't
+    count; other columns aren't looked at; an empty table gives an empty lexicon."""
     low, high = band
     own = F.coalesce(F.col(text), F.lit(""))
     n = docs.select(F.xxhash64(own)).distinct().count()
     each = docs.select(F.xxhash64(own).alias("h"), terms(own).alias("terms")).groupBy("h").agg(F.first("terms").alias("terms"))
     found = each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    found = materialize(found.where((F.col("df") >= low * n) & (F.col("df") <= high * n)), "lexicon")
-    while found.count() > limit:
-        low *= 2
-        found = found.where(F.col("df") >= low * n)
-    return found.select("term")
+    return materialize(found.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select("term"), "lexicon")
 
 
 def lookup(words: DataFrame) -> Column:
@@ -55,44 +52,77 @@ def lookup(words: DataFrame) -> Column:
     return rows.agg(F.sort_array(F.collect_list("x")).getField("terms")).scalar()
 
 
-def with_fingerprint(df: DataFrame, text: str, buckets: Column, to: str = "fingerprint") -> DataFrame:
-    """df and the fingerprint of a text column. The lexicon is a subquery of one row: the two projections become one,
-    in which it is evaluated where it is used, so that no row carries it. For that it must be named just once."""
-    made = F.transform(F.array("_lexicon"), lambda x: fingerprint(F.col(text), x))[0]
-    return df.withColumn("_lexicon", buckets).withColumn(to, made).drop("_lexicon")
+def with_fingerprint(df: DataFrame, text: str, words: DataFrame, to: str = "fingerprint", limit: int = LEXICON) -> DataFrame:
+    """df and the fingerprint of a text column, from the lexicon `words`. Null texts count as empty; rows that repeat
+    get the same fingerprint; a column already named `to` is replaced; an empty table stays empty.
 
+    A lexicon of up to `limit` terms is a subquery of one row: the two projections become one, in which it is evaluated
+    where it is used, so that no row carries it. For that it must be named just once. A larger one is joined with the
+    terms of the distinct texts. Both give the same fingerprints."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    if words.count() <= limit:
+        mask = F.lit(BUCKETS - 1)
 
-def fingerprint(text: Column, buckets: Column) -> Column:
-    """A level in two hexadecimal digits, then 2 * SUBSETS hashes of eight digits; zeros for an empty subset.
+        def of(buckets: Column) -> Column:
+            return let(terms(own), lambda t: fingerprint(t, F.filter(t, lambda x: F.array_contains(F.get(buckets, x.bitwiseAND(mask).cast("int")), x))))
+
+        held = fresh(df, "_lexicon")
+        return df.withColumn(held, lookup(words)).withColumn(to, F.transform(F.array(held), of)[0]).drop(held)
+    key = F.md5(own.cast("binary"))
+    each = df.select(key.alias("_of"), terms(own).alias("_t")).groupBy("_of").agg(F.first("_t").alias("_t"))
+    inside = each.select("_of", F.explode("_t").alias("term")).join(words, "term", "left_semi").groupBy("_of").agg(F.collect_list("term").alias("_band"))
+    inside, of, band = materialize(inside, "band"), fresh(df, "_of"), fresh(df, "_band")
+    made = let(terms(own), lambda t: fingerprint(t, F.coalesce(band, F.array().cast("array<bigint>"))))
+    return df.join(inside.toDF(of, band), key == F.col(of), "left").withColumn(to, made).drop(of, band)
 
-    Subset i at level l holds the lexicon's terms whose hash is i modulo SUBSETS * 2**l: the higher, the sparser. A
-    document's level is such that its subsets have one or two of its terms on the mean; the level above
-    stands beside it, so that texts of up to twice the terms still share one. Each hash is of a subset's distinct terms
-    in the text, in the order of their own hashes."""
 
-    def of_terms(t: Column) -> Column:
-        # The same terms whatever else a text holds, so that an edited text keeps them: no switch between two sets.
-        last = F.coalesce(F.get(F.sort_array(t), F.least(F.size(t), F.lit(FEWEST)) - 1), F.lit(-1).cast("long"))
-        inside = lambda x: F.array_contains(F.get(buckets, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), x)
-        return let(F.greatest(last, F.lit(-1).cast("long")), lambda m: let(F.filter(t, lambda x: (x <= m) | inside(x)), of_kept))
+def fingerprint(t: Column, band: Column) -> Column:
+    """A level in two hexadecimal digits, then 2 * SUBSETS hashes of eight digits; zeros for an empty subset.
+
+    t holds a text's terms, band those of them that the lexicon has. The FEWEST terms with the least hashes stand
+    beside the band's: a text without terms in the band has a fingerprint too, and as they stand there whatever else the
+    text holds, an edited text keeps most of them. Each seed draws for each term a subset or none: at level l one in
+    2**l terms is in one of the subsets by some draw, on the mean, and a term may be in several. A document's level is such that its subsets
+    have one or two of its terms on the mean; the level above stands beside it, so that texts of up to twice the terms
+    still share one. Each hash folds a subset's distinct terms in the text in the order of their own hashes; one pass
+    over the drawn terms, sorted by subset, makes all of them."""
+    kept = F.array_distinct(F.concat(F.slice(F.sort_array(t), 1, FEWEST), band))
 
     def of_kept(u: Column) -> Column:
         level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(u), F.lit(1)) / SUBSETS)).cast("int"))
-        return let(level, lambda v: F.concat(F.lower(F.lpad(F.hex(v.cast("long")), 2, "0")), hashes(u, v), hashes(u, v + 1)))
+        return let(level, lambda v: let(drawn(u, v), lambda d: F.concat(F.lower(F.lpad(F.hex(v.cast("long")), 2, "0")), hashes(d), hashes(F.filter(d, lambda x: x["deep"])))))
+
+    def drawn(u: Column, level: Column) -> Column:
+        """(slot, term, whether the level above has it too) of each draw that puts a term in a subset, sorted."""
+        modulus = F.lit(SUBSETS * len(SEEDS)) * F.pow(F.lit(2.0), level).cast("long")
 
-    def hashes(u: Column, level: Column) -> Column:
-        modulus = F.lit(SUBSETS) * F.pow(F.lit(2.0), level).cast("long")
-        dealt = F.sort_array(F.filter(u, lambda x: F.pmod(x, modulus) < SUBSETS))
+        def draws(seed: int) -> Column:
+            def one(x: Column) -> Column:
+                h = F.xxhash64(x, F.lit(seed))
+                return F.struct(F.pmod(h, modulus).cast("int").alias("slot"), x.alias("term"), (F.pmod(h, modulus * 2) < SUBSETS).alias("deep"))
 
-        def of_dealt(d: Column) -> Column:
-            def of_slot(i: Column) -> Column:
-                return let(F.filter(d, lambda x: F.pmod(x, modulus) == i), lambda s: F.when(F.size(s) == 0, "0" * 8).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(s)), 16, "0")), 1, 8)))
+            return F.filter(F.transform(u, one), lambda d: d["slot"] < SUBSETS)
 
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), of_slot), "")
+        return F.sort_array(F.concat(*map(draws, SEEDS)))
 
-        return let(dealt, of_dealt)
+    def hashes(d: Column) -> Column:
+        kind = "array<struct<slot: int, hash: bigint>>"
+        start = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("term"), F.lit(0).cast("long").alias("hash"))
+        closed = lambda acc: F.when(acc["slot"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["slot"].alias("slot"), acc["hash"].alias("hash"))))
 
-    return let(terms(text), of_terms)
+        def step(acc: Column, x: Column) -> Column:
+            same = acc["slot"] == x["slot"]
+            twice = same & (acc["term"] == x["term"])
+            folded = F.when(twice, acc["hash"]).when(same, F.xxhash64(acc["hash"], x["term"])).otherwise(F.xxhash64(x["term"]))
+            return F.struct(F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"), x["slot"].alias("slot"), x["term"].alias("term"), folded.alias("hash"))
+
+        def written_out(found: Column) -> Column:
+            one = lambda i: F.coalesce(F.substring(F.lower(F.lpad(F.hex(F.element_at(found, i)), 16, "0")), 1, 8), F.lit("0" * 8))
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
+
+        return let(F.map_from_entries(closed(let(F.aggregate(d, start, step), lambda a: a))), written_out)
+
+    return let(kept, of_kept)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -120,32 +150,41 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def _block(key: Column, bounds: list[int], side: int) -> Column:
-    """How many of the ascending bounds are at most key, by two steps of at most `side` comparisons."""
-    if not bounds:
-        return F.lit(0)
-    upto = lambda array: F.size(F.filter(array, lambda b: b <= key))
-    groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
-    coarse = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    fine = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups])
-    return let(upto(coarse), lambda i: F.when(i == 0, 0).otherwise((i - 1) * side + upto(F.get(fine, i - 1))))
+def _bounds(keyed: DataFrame, block: int | None) -> DataFrame | None:
+    """One row, `b`: ascending values of _key between blocks, in groups of about the root of their number. None if one block will do.
+
+    Blocks hold `block` rows, else at least BLOCK, and LARGEST once there are BLOCKS: their number grows with the rows, and a
+    bound is 8 bytes for each block."""
+    n = keyed.count()
+    count = math.ceil(n / (block or min(LARGEST, max(BLOCK, n // BLOCKS))))
+    if count <= 1:
+        return None
+    shares = F.array(*[F.lit(i / count) for i in range(1, count)]) if count <= BLOCKS else F.transform(F.sequence(F.lit(1), F.lit(count - 1)), lambda i: i / count)
+    flat = keyed.agg(F.array_sort(F.array_distinct(F.percentile_approx("_key", shares, max(10_000, 10 * count)))).alias("b"))
+    side = math.ceil(math.sqrt(count))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("b") - 1) / side).cast("int")), lambda i: F.slice("b", i * side + 1, side))
+    return materialize(flat.select(groups.alias("b"), F.lit(side).alias("side")), "bounds")
+
+
+def _with_block(keyed: DataFrame, bounds: DataFrame | None) -> DataFrame:
+    """keyed with `_block`: how many bounds are at most _key, by a search among the groups and one in a group."""
+    if bounds is None:
+        return keyed.withColumn("_block", F.lit(0))
+    upto = lambda array: F.size(F.filter(array, lambda b: b <= F.col("_key")))
+    i = upto(F.transform("_bounds.b", lambda g: F.get(g, F.lit(0))))
+    found = let(i, lambda i: F.when(i == 0, 0).otherwise((i - 1) * F.col("_bounds.side") + upto(F.get("_bounds.b", i - 1))))
+    return keyed.withColumn("_bounds", bounds.select(F.struct("b", "side")).scalar()).withColumn("_block", found.cast("int")).drop("_bounds")
 
 
 def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], carried: list[str], block: int | None = None) -> DataFrame:
     """docs (doc_id, text) with the columns `carried`, which `add` adds, and `_next`, a struct of text and carried of the next row in
     descending doc_id; after the last row comes the first. Rows of one doc_id, or without, follow by their texts' hash.
+    An empty table stays empty; one row is its own next.
 
     Rows are ordered inside blocks of like numbers of doc_ids, so each text is shuffled once and nothing is ordered in
-    one task but the blocks' ends, of which there are at most SIDE ** 2."""
+    one task but the blocks' ends, two short rows a block."""
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_key"))
-    n = keyed.count()
-    side = min(SIDE, max(1, math.ceil(math.sqrt(n / (block or BLOCK)))))
-    count = side * side
-    bounds = []
-    if count > 1:
-        shares = F.array(*[F.lit(i / count) for i in range(1, count)])
-        bounds = sorted(set(keyed.agg(F.percentile_approx("_key", shares, max(10_000, 10 * count))).first()[0]))
-    keyed = keyed.withColumn("_block", _block(F.col("_key"), bounds, side).cast("int")).withColumn("_tie", F.xxhash64("text"))
+    keyed = _with_block(keyed, _bounds(keyed, block)).withColumn("_tie", F.xxhash64("text"))
     rows = add(keyed)
     order = Window.partitionBy("_block").orderBy(F.desc("_key"), F.desc("_tie"))
     following = F.struct("text", *carried)
@@ -167,11 +206,13 @@ def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], carried: l
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts. Null texts are empty; rows that repeat, or lack a doc_id,
+    have a row each; other columns are dropped; an empty table gives an empty table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = lookup(lexicon(docs))
-    rows = with_next(docs, lambda df: with_fingerprint(df, "text", buckets), ["fingerprint"])
+    words = lexicon(docs)
+    rows = with_next(docs, lambda df: with_fingerprint(df, "text", words), ["fingerprint"])
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), F.length("text") - third), F.substr(F.col("_next.text"), F.lit(1), third))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", F.col("_next.fingerprint").alias("_after"), edited.alias("_edited"))
-    rows = with_fingerprint(rows, "_edited", buckets, "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
+    rows = with_fingerprint(rows, "_edited", words, "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_after")).alias("near_next"))

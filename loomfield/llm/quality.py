@@ -147,10 +147,9 @@ def judge(docs: DataFrame, labels: DataFrame, rate: float = 0.05, error: float =
     Strata are the values of `stratum`; null is one of its own. Labels (doc_id, quality): 1 is good, 0 bad; other
     values, nulls and documents labelled both ways don't count. Labelled documents that pass the base rules are halved by
     the MD5 of doc_id into a drafting half and a holdout. Rows that repeat are judged alike. Without labels only the base
-    rules reject; an empty table stays empty. A column of docs named _q, _failed or _kept raises ValueError."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if clash := {"_q", "_failed", "_kept"} & set(keep):
-        raise ValueError(f"rename {', '.join(sorted(clash))}")
+    rules reject; an empty table stays empty. Columns of docs named _q,
+    _failed or _kept give way to the operator's."""
+    keep = [c for c in (docs.columns if keep is None else keep) if (keep or c != text) and c not in ("_q", "_failed", "_kept")]
     own = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("_id"), F.coalesce(F.col(stratum), F.lit("")).alias("_stratum"), F.col(text).alias("_text"))
     own = materialize(features(own, "_text").drop("_text").withColumn("_failed", base_failed()), "quality")
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_low"), F.max("quality").alias("_high")).where("_low = _high")
@@ -163,6 +162,8 @@ def judge(docs: DataFrame, labels: DataFrame, rate: float = 0.05, error: float =
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Null and empty texts have no words and fail; repeated rows have a row each;
+    other columns are dropped; an empty table gives an empty table."""
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 

@@ -10,10 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table
+from .common import fresh, let, materialize, table
+from .common import scan as scan_array
 
 #: Candidates that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 500_000
+#: Characters of the pieces that a text is cut into for masking.
+PIECE = 4096
 #: Strings that a part of a pattern may stand for before its trigrams are taken.
 STRINGS = 64
 
@@ -169,14 +172,11 @@ def _spans(text: Column, rule: Rule, nth: int) -> Column:
         return let(F.split(text, rule.pattern, -1), lambda between: let(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda sized: walk(found, between, sized)))
 
     def walk(found: Column, between: Column, sized: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(found, i))
-            span = F.struct(start.alias("start"), F.lit(nth).alias("nth"), end.alias("end"))
-            good = F.length(F.get(sized, i)) >= rule.least
-            return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+        # Lengths of the piece before a match and of the match; their running sums are where matches start and end.
+        pairs = F.transform(found, lambda m, i: F.struct((F.length(F.get(between, i)) + F.length(m)).alias("upto"), F.length(m).alias("own")))
+        ends = scan_array(pairs, lambda a, x: F.struct((a["upto"] + x["upto"]).alias("upto"), x["own"].alias("own")))
+        spans = F.transform(ends, lambda e: F.struct((e["upto"] - e["own"]).alias("start"), F.lit(nth).alias("nth"), e["upto"].alias("end")))
+        return F.filter(spans, lambda x, i: F.length(F.get(sized, i)) >= rule.least) if rule.least else spans
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(locate(found)))
 
@@ -186,19 +186,22 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text", doc_id:
 
     Rules whose pattern has mandatory trigrams are verified on the candidates that the inverted index gives; the others
     scan every text. Null texts count as empty and have no spans; documents that repeat, or have no doc_id, are scanned
-    each. Candidates are broadcast only where they are few, and joined by a shuffle else."""
+    each; an empty table stays empty. A column of docs named _spans gives way to the operator's, all others stay.
+    Candidates are broadcast only where they are few, and joined by a shuffle else."""
+    docs = docs.drop("_spans")
+    own, kinds = fresh(docs, "_candidate"), fresh(docs, "_rules")
     found = materialize(candidates(materialize(build_index(docs, rules, text, doc_id), "postings"), rules), "candidates")
-    found = found.select(F.col("doc_id").alias("_candidate"), F.col("rules").alias("_rules"))
+    found = found.select(F.col("doc_id").alias(own), F.col("rules").alias(kinds))
     found = F.broadcast(found) if found.count() <= BROADCAST else found
-    joined = docs.join(found, docs[doc_id].eqNullSafe(found["_candidate"]), "left")
+    joined = docs.join(found, docs[doc_id].eqNullSafe(found[own]), "left")
     none = F.array().cast("array<struct<start: int, nth: int, end: int>>")
     whole = F.coalesce(F.col(text), F.lit(""))
     parts = []
     for nth, rule in enumerate(rules):
         spans = _spans(whole, rule, nth)
-        asked = F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False))
+        asked = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
         parts.append(spans if trigram_query(rule.pattern) is None else F.when(asked, spans).otherwise(none))
-    return joined.withColumn("_spans", F.sort_array(F.concat(*parts))).drop("_candidate", "_rules")
+    return joined.withColumn("_spans", F.sort_array(F.concat(*parts))).drop(own, kinds)
 
 
 def listed(spans: Column, rules: list[Rule] = RULES) -> Column:
@@ -208,18 +211,36 @@ def listed(spans: Column, rules: list[Rule] = RULES) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by one mark."""
+    """The text with each run of overlapping spans replaced by one mark. Null texts stay null.
+
+    Running largest ends tell where a run starts. The text between runs is cut from pieces of PIECE characters, as a
+    place in a string is found by counting from its start: so the work grows with the text, not with the product of text
+    and spans."""
+    kind = "array<struct<start: int, end: int>>"
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        """Characters from start (counted from 0) up to end."""
+        first = F.floor(start / PIECE).cast("int")
+        whole = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+        return F.substr(whole, start - first * PIECE + 1, end - start)
+
+    def between(ends: Column) -> Column:
+        """(end of the run before, start of this one) where a run starts, and what is after the last."""
+        gaps = F.transform(spans, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).alias("start"), x["start"].alias("end")))
+        gaps = F.filter(gaps, lambda g, i: (i == 0) | (g["end"] >= g["start"]))
+        return F.concat(gaps, F.array(F.struct(F.element_at(ends, -1).alias("start"), F.length(text).alias("end"))).cast(kind))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    def joined(gaps: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        return let(pieces, lambda p: F.array_join(F.transform(gaps, lambda g: F.when(g["end"] > g["start"], cut(p, g["start"], g["end"])).otherwise("")), mark))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(let(done, lambda d: F.concat(d["out"], F.substr(text, d["at"] + 1, F.length(text)))))
+    ends = scan_array(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+    return F.when(F.size(spans) == 0, text).otherwise(let(let(ends, between), joined))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. Null texts are empty; repeated rows have a row each; other columns are dropped; an
+    empty table gives an empty table."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count(nth).alias(f"n_{rule.kind}") for nth, rule in enumerate(BASE)]
     base = F.filter("_spans", lambda x: x["nth"] < len(BASE))

@@ -364,18 +364,20 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     doc_id, or, of rows with the same doc_id or none, with the least hash of its text; of rows alike in both, any.
     Columns come back as they are."""
     found = materialize(verified(docs, text, doc_id, width, within, count, least), "groups")
-    lead = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    lead = lead.select(F.col("x.doc_id").alias("_lead"), F.col("x.text_hash").alias("_hash"))
-    same = docs[doc_id].eqNullSafe(F.col("_lead")) & (F.xxhash64(docs[text]) == F.col("_hash"))
-    kept = docs.join(lead, same, "left_semi")
-    twice = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_th")).count().where("count > 1")
+    lead = materialize(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash"), "leads")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    kept = rows.join(lead, same, "left_semi")
+    twice = found.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
     if not twice.take(1):
-        return kept
-    alike = kept[doc_id].eqNullSafe(F.col("_of")) & (F.xxhash64(kept[text]) == F.col("_th"))
-    several = kept.join(twice, alike, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
-    return kept.join(twice, alike, "left_anti").unionByName(several)
+        return kept.select("row.*")
+    twice = materialize(twice.join(lead.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), same, "left_semi"), "twice")
+    several = kept.join(twice, same, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))).where("nth = 1")
+    return kept.join(twice, same, "left_anti").select("row.*").unionByName(several.select("row.*"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint zero; repeated rows have a row
+    each; other columns are dropped; an empty table gives an empty table."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")

@@ -79,12 +79,14 @@ def test_sharding(got, docs):
             assert sum(r["n_bytes"] for r in rows if r["shard_id"].startswith(name[:-1])) > 1 << 20
 
 
-def test_chat_is_its_sql(got, small):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_is_its_sql(got, small, name):
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{small}/conversations.parquet'")
-    want = con.execute(ORACLES["op3_chat"]).df()
+    for t in ("conversations", "documents", "labels"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    want = con.execute(ORACLES[name]).df()
     key = lambda r: tuple(r[c] for c in sorted(want.columns))
-    assert sorted(map(key, got("op3_chat"))) == sorted(map(key, want.to_dict("records")))
+    assert sorted(map(key, got(name))) == sorted(map(key, want.to_dict("records")))
 
 
 def test_chat_hand_made(got):
