@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions import stats
-from loomfield.sources.tables import written
+from loomfield.sources.tables import of_datasets, written
 
 from .neighbors import check_label, known_labels, knn_join, radius_join
 from .patterns import holds, maximal, mine, transactions
@@ -114,7 +114,7 @@ def differential(cells: DataFrame, ct: str, datasets: list[str], motifs: list |
     sets of any single field of view."""
     if len(datasets) != 2:
         raise ValueError("give two datasets")
-    own = cells.where(F.col("dataset").isin(datasets))
+    own = of_datasets(cells, datasets)
     check_label(own, ct)
     if motifs is None:
         wanted = mined(own, ct, max_dist, k, min_support, min_size, ["fov"]).select("itemset").distinct()

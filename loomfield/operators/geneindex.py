@@ -2,33 +2,89 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import stats
+from loomfield.sources import tables
+from loomfield.sources.tables import written
 
+from . import expression
 from .patterns import maximal, mine
 
 
-def build(expr: DataFrame) -> DataFrame:
-    """(fov, gene, cell_ids, n_cells, mu, sigma): ascending ids of the cells that express the gene, with the mean and
-    deviation of ln(value). A field of view bounds what is gathered in one row."""
-    own = expr.where("value > 0")
-    return own.groupBy("fov", "gene").agg(F.sort_array(F.collect_list("cell_id")).alias("cell_ids"), F.count("*").alias("n_cells"), F.avg(F.log("value")).alias("mu"), F.coalesce(F.stddev_samp(F.log("value")), F.lit(0.0)).alias("sigma"))
+#: Bits up to which a quantile is found among literal bounds.
+LITERAL_BITS = 8
 
 
-def quantize(expr: DataFrame, bits: int = 2) -> DataFrame:
-    """expr with a bucket of 0 to 2**bits - 1 in place of the value: the log-normal distribution function of the gene
-    in its field of view, by the logistic approximation of the normal one."""
+def _normal() -> NormalDist:
+    return NormalDist()
+
+
+def _bucket(z: Column, bits: int) -> Column:
+    """Which of 2**bits equal shares of the normal distribution z falls into, from 0."""
     if not 0 < bits < 32:
         raise ValueError("bits must be from 1 to 31")
+    if bits <= LITERAL_BITS:
+        bounds = F.array(*[F.lit(_normal().inv_cdf(j / (1 << bits))) for j in range(1, 1 << bits)])
+        return F.size(F.filter(bounds, lambda b: b <= z))
+
+    @F.pandas_udf("int")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series([min((1 << bits) - 1, int(math.erfc(-v / math.sqrt(2)) / 2 * (1 << bits))) for v in x], dtype="int32")
+
+    return of(z)
+
+
+def _middle(bucket: Column, bits: int) -> Column:
+    """The normal quantile in the middle of a share."""
+    if bits > 16:
+        raise ValueError("values of more than 16 bits are not decoded")
+    if bits <= LITERAL_BITS:
+        return F.get(F.array(*[F.lit(_normal().inv_cdf((j + 0.5) / (1 << bits))) for j in range(1 << bits)]), bucket)
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series([_normal().inv_cdf((v + 0.5) / (1 << bits)) for v in x], dtype="float64")
+
+    return of(bucket)
+
+
+def build(expr: DataFrame, bits: int = 2) -> DataFrame:
+    """(fov, gene, cell_ids, n_cells, mu, sigma, quantiles, bits): ascending ids of the cells that express the gene, with
+    the mean and deviation of ln(value), and each cell's quantile() under them. A field of view bounds what is gathered
+    in one row."""
+    own = quantize(expr.where("value > 0"), bits)
+    out = own.groupBy("fov", "gene").agg(F.sort_array(F.collect_list(F.struct("cell_id", "bucket"))).alias("_c"), F.count("*").alias("n_cells"), F.avg("_ln").alias("mu"), F.coalesce(F.stddev_samp("_ln"), F.lit(0.0)).alias("sigma"))
+    return out.select("fov", "gene", F.col("_c.cell_id").alias("cell_ids"), "n_cells", "mu", "sigma", F.col("_c.bucket").alias("quantiles"), F.lit(bits).alias("bits"))
+
+
+def quantize(expr: DataFrame, bits: int = 2) -> DataFrame:
+    """expr with a bucket of 0 to 2**bits - 1 and `_ln` in place of the value: which share of the log-normal distribution
+    of the gene in its field of view the value falls into. One value, or equal ones, are its middle."""
     w = Window.partitionBy("fov", "gene")
-    ln = F.log("value")
-    z = F.coalesce((ln - F.avg(ln).over(w)) / F.nullif(F.stddev_samp(ln).over(w), F.lit(0.0)), F.lit(0.0))
-    share = 1 / (1 + F.exp(-1.702 * z))
-    return expr.withColumn("bucket", F.least(F.lit((1 << bits) - 1), F.floor(share * (1 << bits)).cast("int"))).drop("value")
+    out = expr.withColumn("_ln", F.log("value"))
+    z = F.coalesce((F.col("_ln") - F.avg("_ln").over(w)) / F.nullif(F.stddev_samp("_ln").over(w), F.lit(0.0)), F.lit(0.0))
+    return out.withColumn("_z", z).withColumn("bucket", _bucket(F.col("_z"), bits)).drop("value", "_z")
+
+
+def _one_width(index: DataFrame) -> int:
+    widths = [r[0] for r in index.select("bits").distinct().limit(2).collect()]
+    if len(widths) > 1:
+        raise ValueError("the index has quantiles of different bits")
+    return widths[0] if widths else 2
+
+
+def expression_of(index: DataFrame, fov: str | None = None) -> DataFrame:
+    """The expression again: (fov, gene, cell_id, value), each value the one in the middle of its quantile."""
+    own = index if fov is None else index.where(F.col("fov") == fov)
+    rows = own.select("fov", "gene", "mu", "sigma", F.explode(F.arrays_zip("cell_ids", "quantiles")).alias("c"))
+    return rows.select("fov", "gene", F.col("c.cell_ids").alias("cell_id"), F.exp(F.col("mu") + F.col("sigma") * _middle(F.col("c.quantiles"), _one_width(index))).alias("value"))
 
 
 def cells_of(index: DataFrame, fov: str | None = None) -> DataFrame:
@@ -37,6 +93,23 @@ def cells_of(index: DataFrame, fov: str | None = None) -> DataFrame:
     return own.select("fov", "gene", F.explode("cell_ids").alias("cell_id"))
 
 
+def posting(index: DataFrame, number: int) -> DataFrame:
+    """The cells of one posting, by its number from 0 in the order of gene and field of view."""
+    return cells_of(index.orderBy("gene", "fov").offset(number).limit(1))
+
+
+def genes_by_cell(index: DataFrame, genes: list[str]) -> DataFrame:
+    """The genes' postings turned round: (fov, cell_id, genes), the names joined by commas."""
+    return any_of(index, genes).groupBy("fov", "cell_id").agg(F.array_join(F.sort_array(F.collect_set("gene")), ",").alias("genes"))
+
+
+def merge(*indexes: DataFrame) -> DataFrame:
+    """Several indexes as one; quantiles of different bits raise ValueError."""
+    out = tables.merge(*indexes)
+    _one_width(out)
+    return out
+
+
 def resolve(index: DataFrame, genes: list[str]) -> list[str]:
     """The index's names of the genes, found whatever their case; unknown ones are dropped."""
     low = [g.lower() for g in genes]
@@ -100,29 +173,62 @@ def tf_idf(expr: DataFrame, genes: list[str], n_cells: int) -> DataFrame:
     return own.groupBy("gene").agg((F.avg(F.col("value") / F.col("reads")) * n_cells / F.count("*")).alias("tf_idf"))
 
 
-def support_cutoff(proposals: DataFrame, column: str = "cutoff") -> int:
-    """1 for at most seven genes, else the median proposal."""
-    n, middle = proposals.agg(F.count("*"), F.percentile(column, F.lit(0.5))).first()
-    return 1 if n <= 7 else int(middle)
+def support_cutoff(expr: DataFrame, genes: list[str]) -> int:
+    """How many cells a set of the genes must be in: 1 for at most seven genes, else the middle one of a proposal a gene.
 
+    A gene's proposal is the number of other genes that its cells express besides, a gene of the list, times the mean
+    number of genes in a cell by the logarithm of the list's length."""
+    if len(genes) <= 7:
+        return 1
+    n = len(genes)
+    own = expr.where((F.col("value") > 0) & F.col("gene").isin(genes)).withColumn("_k", F.count("*").over(Window.partitionBy("fov", "cell_id")))
+    per = own.groupBy("gene").agg(F.sum(F.col("_k") - 1).alias("others"), F.count("*").alias("support")).collect()  # a row a gene of the list
+    cells = own.select("fov", "cell_id").distinct().count()
+    overlap = sum(r["support"] for r in per) / max(1, cells) / math.log(n)
+    proposed = sorted([int(r["others"] / n * overlap) for r in per] + [0] * (n - len(per)))
+    return max(1, proposed[min(n - 1, int(n * 0.5 + 0.5))])
 
-def itemsets(expr: DataFrame, genes: list[str], n_cells: int, min_cells: int = 1) -> DataFrame:
-    """(genes, query, tf_idf, n_cells): sets of two of the genes or more that min_cells cells express together. A set's
-    score is its least tf_idf times the sum. Cells with one of the genes only count for no set."""
-    own = expr.where(F.col("gene").isin(genes)).groupBy("fov", "cell_id").agg(F.sort_array(F.collect_set("gene")).alias("labels")).where(F.size("labels") > 1)
+
+def gene_patterns(expr: DataFrame, genes: list[str] | None = None, min_cells: int = 1) -> DataFrame:
+    """(itemset, freq): sets of two genes or more that min_cells cells express together. Cells with one gene count for
+    no set."""
+    own = expr.where("value > 0") if genes is None else expr.where((F.col("value") > 0) & F.col("gene").isin(genes))
+    own = written(own.groupBy("fov", "cell_id").agg(F.sort_array(F.collect_set("gene")).alias("labels")).where(F.size("labels") > 1), "sets")
     least = min_cells / max(1, own.count())
-    found = mine(own, least * (1 - 1e-12)).where((F.size("itemset") > 1) & (F.col("freq") >= min_cells))
+    return mine(own.withColumn("_all", F.lit(1)), least * (1 - 1e-12), ["_all"]).where((F.size("itemset") > 1) & (F.col("freq") >= min_cells)).select("itemset", "freq")
+
+
+def itemsets(expr: DataFrame, genes: list[str], n_cells: int, min_cells: int = 1) -> DataFrame:
+    """(genes, query, tf_idf, n_cells): gene_patterns() of the genes. A set's score is its least tf_idf times the sum."""
+    found = gene_patterns(expr, genes, min_cells)
     scores = tf_idf(expr, genes, n_cells)
     scored = found.select("itemset", "freq", F.explode("itemset").alias("gene")).join(scores, "gene").groupBy("itemset").agg(F.first("freq").alias("n_cells"), (F.min("tf_idf") * F.sum("tf_idf")).alias("tf_idf"))
     return scored.select(F.size("itemset").alias("genes"), F.array_join("itemset", ",").alias("query"), "tf_idf", "n_cells")
 
 
+def marker_genes(expr: DataFrame, genes: list[str], n_cells: int, exhaustive: bool = False, min_cells: int = -1) -> DataFrame:
+    """itemsets() of the genes that support_cutoff() cells hold together, or min_cells where that isn't -1; all sets that
+    any cell holds, if exhaustive. Names are found in any case."""
+    names = [r[0] for r in expr.where(F.lower("gene").isin([g.lower() for g in genes])).select("gene").distinct().collect()]
+    return itemsets(expr, names, n_cells, 1 if exhaustive else support_cutoff(expr, names) if min_cells == -1 else min_cells)
+
+
 def maximal_itemsets(expr: DataFrame, genes: list[str], min_support: float) -> DataFrame:
     """Maximal sets of the genes that a share of the cells with any of them express together."""
     own = expr.where(F.col("gene").isin(genes)).groupBy("fov", "cell_id").agg(F.sort_array(F.collect_set("gene")).alias("labels"))
     return maximal(mine(own, min_support))
 
 
+def label_totals(cells: DataFrame) -> DataFrame:
+    """(label, total_cells) of every label."""
+    return cells.groupBy("label").agg(F.count("*").alias("total_cells"))
+
+
+def de_fisher(index: DataFrame, groups: DataFrame, min_fraction: float = 0.05, alpha: float | None = 0.1, ties: str | None = "group1") -> DataFrame:
+    """The Fisher test of expression.de_fisher() from an index: its postings say which cells express a gene."""
+    return expression.de_fisher(cells_of(index).withColumn("value", F.lit(1.0)), groups, min_fraction, alpha, ties)
+
+
 def label_hits(expr: DataFrame, cells: DataFrame, genes: list[str] | None = None) -> DataFrame:
     """(gene, label, tp, total): cells of the label with the gene, and all of the label, also where tp is 0."""
     own = expr.where("value > 0") if genes is None else expr.where((F.col("value") > 0) & F.col("gene").isin(genes))
@@ -170,21 +276,30 @@ def housekeeping(expr: DataFrame, cells: DataFrame, labels: list[str] | None = N
     return out.orderBy(F.desc("min_recall"), "gene").limit(max_genes)
 
 
-def signatures(expr: DataFrame, cells: DataFrame, label: str, max_genes: int = 10, min_cells: int = 10) -> list[str]:
-    """Genes whose joint expression marks the label, added one by one: the one with the best precision next, as long as
-    precision grows and min_cells cells of the label are left. The driver holds the genes' counts of each step."""
-    chosen: list[str] = []
-    best = 0.0
-    rest = expr.where("value > 0").select("fov", "cell_id", "label", "gene")
-    while len(chosen) < max_genes:
-        counts = rest.groupBy("gene").agg(F.sum(F.when(F.col("label") == label, 1).otherwise(0)).alias("tp"), F.count("*").alias("n")).where((F.col("tp") >= min_cells) & ~F.col("gene").isin(chosen))
-        top = counts.withColumn("p", F.col("tp") / F.col("n")).orderBy(F.desc("p"), F.desc("tp"), "gene").first()
-        if top is None or top["p"] <= best:
-            break
-        best = top["p"]
-        chosen.append(top["gene"])
-        rest = rest.join(rest.where(F.col("gene") == top["gene"]).select("fov", "cell_id"), ["fov", "cell_id"], "left_semi")
-    return chosen
+def signatures(expr: DataFrame, cells: DataFrame, labels: list[str] | None = None, max_genes: int = 1000, min_cells: int = 10, max_pval: float = 0.05) -> DataFrame:
+    """(label, step, gene, cell_hits, p_value): genes whose joint expression marks each label; all labels, if None.
+
+    A label's genes are taken by falling recall, max_genes of them at most. A step asks for the cells that express all
+    genes so far; the signature ends before the first step that leaves fewer than min_cells cells of the label, or whose
+    enrichment in it has a hypergeometric p, by Holm's steps over all labels, of over max_pval.
+
+    No step is asked for by itself: a cell answers all those of a label up to the length of its run of leading genes, so
+    a count by run length holds every step."""
+    hits = label_hits(expr, cells)
+    ranked = hits if labels is None else hits.where(F.col("label").isin(labels))
+    order = Window.partitionBy("label").orderBy(F.desc(F.col("tp") / F.col("total")), "gene")
+    ranked = written(ranked.withColumn("step", F.row_number().over(order)).where(F.col("step") <= max_genes).select(F.col("label").alias("of"), "step", "gene"), "ranked")
+    runs = expr.where("value > 0").join(ranked, "gene").groupBy("of", "fov", "cell_id", "label").agg(F.sort_array(F.collect_list("step")).alias("_s"))
+    runs = runs.withColumn("run", F.size(F.filter("_s", lambda x, i: x == i + 1))).where("run > 0").groupBy("of", "label", "run").agg(F.count("*").alias("n"))
+    counts = runs.select("of", "label", "n", F.explode(F.sequence(F.lit(1), "run")).alias("step")).groupBy("of", "label", "step").agg(F.sum("n").alias("hits"))
+    totals = cells.groupBy("label").agg(F.count("*").alias("total"))
+    every = ranked.select("of", "step").withColumn("_t", totals.agg(F.collect_list(F.struct("label", "total"))).scalar()).select("of", "step", F.explode("_t").alias("t")).select("of", "step", "t.*")
+    found = every.join(counts, ["of", "label", "step"], "left").fillna(0, ["hits"]).withColumn("_drawn", F.sum("hits").over(Window.partitionBy("of", "step")))
+    found = found.withColumn("_n", cells.agg(F.count("*")).scalar()).withColumn("p_value", stats.p_enriched(F.col("hits") - 1, F.col("_n"), F.col("total"), F.col("_drawn")))
+    own = stats.holm(found, "p_value", "adj", ["of", "step"]).where("label = of")
+    ends = F.min(F.when((F.col("hits") < min_cells) | (F.col("adj") > max_pval), F.col("step"))).over(Window.partitionBy("of"))
+    kept = own.withColumn("_end", ends).where("_end is null or step < _end")
+    return kept.join(ranked, ["of", "step"]).select(F.col("of").alias("label"), "step", "gene", F.col("hits").alias("cell_hits"), F.col("adj").alias("p_value"))
 
 
 def hypergeometric_query(expr: DataFrame, cells: DataFrame, genes: list[str], alpha: float | None = 0.05) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import written
+
 from .neighbors import probe_join, radius_join
 from .patterns import has_motif, holds
 
@@ -59,5 +61,47 @@ def motif_roles(cells: DataFrame, ct: str, motif: list[str], max_dist: float) ->
 
 def motif_matrix(patterns: DataFrame, order: str = "freq") -> DataFrame:
     """(motif, label): labels of numbered motifs, motif_1 the first by falling order, for a heat map."""
+    # Patterns of a centre: as few rows as there are maximal label sets.
     no = F.row_number().over(Window.orderBy(F.desc(order), F.array_join("itemset", "+")))
     return patterns.withColumn("motif", F.concat(F.lit("motif_"), no.cast("string"))).select("motif", F.explode("itemset").alias("label"), order)
+
+
+def motif_probe_cells(cells: DataFrame, probes: DataFrame, motif: list[str], max_dist: float) -> DataFrame:
+    """(fov, cell_id, label): cells with a label of the motif round the probe points that motif_probes() finds."""
+    near = written(probe_join(cells, probes, max_dist), "near")
+    sets = near.groupBy("fov", "center_id").agg(F.collect_list("neighbor_label").alias("labels"))
+    sets = sets.where(has_motif(F.col("labels"), F.array(*map(F.lit, motif)))).select("fov", "center_id")
+    own = near.where(F.col("neighbor_label").isin(motif)).join(sets, ["fov", "center_id"], "left_semi")
+    return own.select("fov", F.col("neighbor_id").alias("cell_id"), F.col("neighbor_label").alias("label")).distinct()
+
+
+def covariation_roles(cells: DataFrame, ct: str, pairs: DataFrame, distant: DataFrame, others: DataFrame) -> DataFrame:
+    """(fov, cell_id, label, role) of every cell in a covariation: centres with the motif and without, neighbours and
+    distant cells of the motif by label, and neighbours of centres without it. Where a cell has several parts, the one
+    named last here holds."""
+    part = lambda df, c, n: df.select("fov", F.col(c).alias("cell_id"), F.lit(n).alias("_part"))
+    parts = part(pairs, "center_id", 1).unionByName(part(others, "center_id", 2)).unionByName(part(pairs, "neighbor_id", 3)).unionByName(part(distant, "cell_id", 4)).unionByName(part(others, "neighbor_id", 5))
+    last = parts.groupBy("fov", "cell_id").agg(F.max("_part").alias("_part"))
+    out = cells.select("fov", "cell_id", "label").join(last, ["fov", "cell_id"], "left")
+    is_, label = lambda n: F.col("_part") == n, F.col("label")
+    role = F.when(is_(1), f"center {ct} with motif").when(is_(2), f"non-motif center {ct}").when(is_(3), F.concat(F.lit("neighbor motif: "), label)).when(is_(4), F.concat(F.lit("non-neighbor motif: "), label)).when(is_(5), "non-motif-center neighbors").otherwise("other")
+    return out.select("fov", "cell_id", "label", role.alias("role"))
+
+
+def differential_matrix(found: DataFrame, alpha: float | None = 0.05) -> DataFrame:
+    """(dataset, motif_group, label, neg_log10_p): labels of the motifs that differential() found, numbered within the
+    dataset in which they are more frequent by falling adjusted p. Those under alpha, or all with None."""
+    own = found if alpha is None else found.where(F.col("adj_p_value") < alpha)
+    no = F.row_number().over(Window.partitionBy("higher").orderBy(F.desc("adj_p_value"), F.array_join("itemset", "+")))
+    own = own.withColumn("motif_group", F.concat("higher", F.lit("_motif_"), no.cast("string")))
+    return own.select(F.col("higher").alias("dataset"), "motif_group", F.explode("itemset").alias("label"), (-F.log10("adj_p_value")).alias("neg_log10_p"))
+
+
+def pair_matrix(found: DataFrame, significant: str = "if_significant") -> DataFrame:
+    """(cell_type, sign, gene_center, gene_motif, score): the significant gene pairs of covariation() by type, positive
+    and negative scores apart and without sign. A matrix of fewer than two rows or columns is left out. Rows are what
+    a clustering would order; none is made here."""
+    own = found.where(F.col(significant) & (F.col("combined_score") != 0))
+    own = own.select("cell_type", F.when(F.col("combined_score") > 0, "positive").otherwise("negative").alias("sign"), "gene_center", "gene_motif", F.abs("combined_score").alias("score"))
+    big = own.groupBy("cell_type", "sign").agg(F.count_distinct("gene_center").alias("r"), F.count_distinct("gene_motif").alias("c")).where("r > 1 and c > 1")
+    return own.join(big.select("cell_type", "sign"), ["cell_type", "sign"], "left_semi")

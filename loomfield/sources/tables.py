@@ -60,6 +60,16 @@ def cells(points: DataFrame, x: str, y: str, label: str, cell_id: str = "cell_id
     return points.select(*[F.col(c).cast(kinds.get(to, "string")).alias(to) for to, c in wanted.items()])
 
 
+def of_datasets(cells: DataFrame, datasets: str | list[str]) -> DataFrame:
+    """The cells of the datasets; a name that no cell has raises ValueError."""
+    names = [datasets] if isinstance(datasets, str) else list(datasets)
+    own = cells.where(F.col("dataset").isin(names))
+    known = {r[0] for r in own.select("dataset").distinct().collect()}
+    if missing := [n for n in names if n not in known]:
+        raise ValueError(f"no such dataset: {', '.join(missing)}")
+    return own
+
+
 def number_fovs(fovs: DataFrame, dataset: str = "dataset", order: str = "fov") -> DataFrame:
     """fovs with fov_no, from 0 within each dataset, and fov renamed to dataset_number; '_' in a dataset becomes '-'."""
     from pyspark.sql import Window
@@ -95,6 +105,18 @@ def expression(long: DataFrame, cells: DataFrame) -> DataFrame:
     return own.join(cells.select("dataset", "fov", "cell_id", "label"), "cell_id").select("dataset", "fov", "cell_id", "label", "gene", "value")
 
 
+def concat(parts: list[DataFrame], outer: bool = False) -> DataFrame:
+    """Expression tables of several sources as one: the genes that all have, or with outer all genes, those that a
+    source lacks being zeros, which are no rows."""
+    out, *rest = parts
+    for other in rest:
+        out = out.unionByName(other)
+    if not outer:
+        for part in parts:
+            out = out.join(part.select("gene").distinct(), "gene", "left_semi")
+    return out
+
+
 def save(df: DataFrame, path: str) -> None:
     """Writes a table and, beside it, the version of the format."""
     df.write.mode("overwrite").parquet(f"{path}/data")

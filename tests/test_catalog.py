@@ -7,7 +7,7 @@ import pytest
 
 from loomfield.plans import catalog
 
-CHECKED = ["s1_load_cells", "s2_number_fovs", "j2_knn_join", "j5_motif_pairs_own_label", "j6_other_pairs", "a4_fp_dist", "a4_fp_knn", "a9_fp_dist_fov", "t2_enrichment_dist", "t4_differential_supports", "t6_de_fisher", "t9_de_wilcoxon", "t17_covariation", "x2_search_boolean", "x8_similar_genes", "a19_itemsets", "a22_markers", "p12_motif_probes"]
+CHECKED = sorted(catalog.ORACLES)
 
 
 def rows(frame):
