@@ -336,6 +336,8 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", to: str =
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 512) -> DataFrame:
+    """Bytes and tokens of every document. Null texts are empty; repeated rows have a row each;
+    other columns are dropped; an empty table gives an empty table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = with_token_counts(docs, path or tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -343,7 +345,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with `_bpe`: struct(n_tokens, ids, decoded), ids in decimal joined by spaces. Null or empty text: 0 and
-    two empty strings. Other columns stay as they are."""
+    two empty strings. Rows that repeat are encoded alike; a column of docs already named _bpe is replaced, the others
+    stay; an empty table stays empty."""
 
     @F.pandas_udf("struct<n_tokens long, ids string, decoded string>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -354,7 +357,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) without the ids leaving the worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) without the ids leaving the worker. A null or empty text has no
+    tokens and the digests of nothing; repeated rows have a row each; other columns are dropped; an empty table gives
+    an empty table."""
     from hashlib import sha256
 
     @F.pandas_udf("struct<n_tokens long, ids_sha256 string, decoded_sha256 string>")
@@ -370,4 +375,6 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Digests of ids and decoded text of every document. Null texts are empty; repeated rows have a row each;
+    other columns are dropped; an empty table gives an empty table."""
     return digests(table(spark, sf_dir, "documents"), path or tokenizer_path("word_bpe_49k.json"))

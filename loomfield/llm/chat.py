@@ -172,6 +172,9 @@ def _closed(state: list) -> list:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Digests of every conversation and of conversation -1, read back from the formatted ids. Null texts and roles are
+    empty; rows of one turn number, repeated ones too, are turns each, in the order of a hash; other columns are
+    dropped; an empty table gives conversation -1 alone."""
     path = path or tokenizer_path("byte_bpe_50k.json")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"

@@ -491,6 +491,8 @@ def main_text(html: Column, threshold: float = 0.5) -> Column:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null or empty page has an empty text; repeated rows have a row each; other columns
+    are dropped; an empty table gives an empty table."""
     out = table(spark, sf_dir, "pages").select("page_id", "url", main_text(F.col("html")).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -166,7 +166,7 @@ def plan(histogram: dict[int, int], limits: Capacities) -> tuple[np.ndarray, int
 
 
 def place(cut: DataFrame, limits: Capacities) -> DataFrame:
-    """cut (any columns, with doc_id, piece and length) and sequence_id and offset.
+    """cut (doc_id, piece, length and any columns without an underscore first) and sequence_id and offset.
 
     The lengths' counts are the whole instance, at most as many as a bin has tokens, so the driver plans on them. Each
     piece then needs its rank among the pieces of its length: blocks by hash number their own, and the blocks' counts
@@ -199,10 +199,12 @@ def pack(docs: DataFrame, path: str, limits: Capacities = Capacities(), end: int
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of docs.
 
     Documents of over limits.tokens ids are cut, others stay whole. Rows that repeat, or lack a doc_id, are packed like
-    any other. An empty table gives an empty table."""
+    any other. Other columns are dropped. An empty table gives an empty table."""
     cut = materialize(pieces(docs, path, limits.tokens, end, text, doc_id), "pieces")
     return place(cut, limits).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Pieces of every document and their places in sequences. A null or empty text is its end id; repeated rows are
+    packed each; other columns are dropped; an empty table gives an empty table."""
     return pack(table(spark, sf_dir, "documents"), path or tokenizer_path("byte_bpe_50k.json"))

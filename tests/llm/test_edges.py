@@ -302,3 +302,28 @@ def test_stages_odd(spark, odd, small):
             if i < 3:
                 assert own.columns == corpus_pipeline.COLUMNS
         assert (own.count() > 0) != empty
+
+
+def test_queries_on_odd_tables(spark, tmp_path):
+    """Whole queries over an empty table, and over one with nulls, repeated rows and columns of other names."""
+    for name, rows in (("empty", []), ("odd", [(1, None, "?"), (1, None, "?"), (None, "<p>Some words, and more.</p>", "?"), (3, "", "?")])):
+        folder = f"{tmp_path}/{name}"
+        frame = spark.createDataFrame(rows, "page_id long, html string, text string").withColumn("url", F.lit(None).cast("string"))
+        frame.write.parquet(f"{folder}/pages.parquet")
+        frame.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit(None).cast("string").alias("lang"), F.col("text").alias("ids")).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        for query in (html.op10_html, bpe.op5_bpe, bpe.op9_token_counts, packing.op6_packing, simhash.op7_simhash, quality.op8_quality, sharding.op2_sharding, secrets.op4_secrets):
+            assert query(spark, folder).count() == len(rows), query
+
+
+def test_ties_and_labels_of_both_kinds(spark):
+    """Equal ratios lie on one side of a cutoff; contradicting labels don't count; without good labels nothing goes."""
+    good, bad = "plain words here and there " * 30, "# $ % words " * 60
+    rows = [(i, f"{good} {i}", "en") for i in range(400)] + [(1000 + i, f"{bad} {' '.join(f'w{i}x{j}' for j in range(200))}", "en") for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{j % 97}" for j, w in enumerate(t.split())), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    labels = [(i, 1, 0) for i in range(400)] + [(1000 + i, 0, 0) for i in range(200)]
+    schema = "doc_id long, quality int, toxic int"
+    verdicts = lambda marks: {r.doc_id: r["_kept"] for r in quality.judge(docs, spark.createDataFrame(marks, schema)).collect()}
+    found = verdicts(labels)
+    assert sum(found[i] for i in range(400)) >= 380 and len({found[1000 + i] for i in range(200)}) == 1
+    assert all(verdicts([x for x in labels if not x[1]]).values()) and all(verdicts(labels + [(i, 0, 0) for i in range(400)]).values())
