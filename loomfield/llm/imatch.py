@@ -90,37 +90,43 @@ def fingerprint(t: Column, band: Column) -> Column:
 
     def of_kept(u: Column) -> Column:
         level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(u), F.lit(1)) / SUBSETS)).cast("int"))
-        return let(level, lambda v: let(drawn(u, v), lambda d: F.concat(F.lower(F.lpad(F.hex(v.cast("long")), 2, "0")), hashes(d), hashes(F.filter(d, lambda x: x["deep"])))))
+        return let(F.struct(level.alias("level"), (F.lit(SUBSETS * len(SEEDS)) * F.pow(F.lit(2.0), level).cast("long")).alias("cells")), lambda v: of_level(u, v))
 
-    def drawn(u: Column, level: Column) -> Column:
-        """(slot, term, whether the level above has it too) of each draw that puts a term in a subset, sorted."""
-        modulus = F.lit(SUBSETS * len(SEEDS)) * F.pow(F.lit(2.0), level).cast("long")
+    def of_level(u: Column, v: Column) -> Column:
+        head = F.lower(F.lpad(F.hex(v["level"].cast("long")), 2, "0"))
+        return let(drawn(u, v["cells"]), lambda d: F.concat(head, hashes(d), hashes(F.filter(d, lambda x: x["deep"]))))
 
-        def draws(seed: int) -> Column:
-            def one(x: Column) -> Column:
-                h = F.xxhash64(x, F.lit(seed))
-                return F.struct(F.pmod(h, modulus).cast("int").alias("slot"), x.alias("term"), (F.pmod(h, modulus * 2) < SUBSETS).alias("deep"))
+    def drawn(u: Column, cells: Column) -> Column:
+        """(slot, term, whether the level above has it too) of each draw that puts a term in a subset, sorted. Most draws
+        put it in none, so they are sifted before anything is built."""
 
-            return F.filter(F.transform(u, one), lambda d: d["slot"] < SUBSETS)
+        def draws(seed: int) -> Column:
+            h = lambda x: F.xxhash64(x, F.lit(seed))
+            sifted = F.filter(u, lambda x: F.pmod(h(x), cells) < SUBSETS)
+            return F.transform(sifted, lambda x: F.struct(F.pmod(h(x), cells).cast("int").alias("slot"), x.alias("term"), (F.pmod(h(x), cells * 2) < SUBSETS).alias("deep")))
 
         return F.sort_array(F.concat(*map(draws, SEEDS)))
 
     def hashes(d: Column) -> Column:
         kind = "array<struct<slot: int, hash: bigint>>"
         start = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("term"), F.lit(0).cast("long").alias("hash"))
-        closed = lambda acc: F.when(acc["slot"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["slot"].alias("slot"), acc["hash"].alias("hash"))))
+        run = lambda acc: F.struct(acc["slot"].alias("slot"), acc["hash"].alias("hash"))
 
         def step(acc: Column, x: Column) -> Column:
-            same = acc["slot"] == x["slot"]
-            twice = same & (acc["term"] == x["term"])
-            folded = F.when(twice, acc["hash"]).when(same, F.xxhash64(acc["hash"], x["term"])).otherwise(F.xxhash64(x["term"]))
-            return F.struct(F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"), x["slot"].alias("slot"), x["term"].alias("term"), folded.alias("hash"))
+            def state(out: Column, h: Column) -> Column:
+                return F.struct(out.alias("out"), x["slot"].alias("slot"), x["term"].alias("term"), h.alias("hash"))
+
+            longer = state(acc["out"], F.when(acc["term"] == x["term"], acc["hash"]).otherwise(F.xxhash64(acc["hash"], x["term"])))
+            begun = state(F.array_append(acc["out"], run(acc)), F.xxhash64(x["term"]))
+            return F.when(acc["slot"] == x["slot"], longer).otherwise(begun)  # the first run is that of the start, slot -1
 
         def written_out(found: Column) -> Column:
-            one = lambda i: F.coalesce(F.substring(F.lower(F.lpad(F.hex(F.element_at(found, i)), 16, "0")), 1, 8), F.lit("0" * 8))
+            one = lambda i: F.coalesce(F.element_at(found, i), F.lit("0" * 8))
             return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one), "")
 
-        return let(F.map_from_entries(closed(let(F.aggregate(d, start, step), lambda a: a))), written_out)
+        runs = let(F.aggregate(d, start, step), lambda a: F.array_append(a["out"], run(a)))
+        digits = F.transform(runs, lambda r: F.struct(r["slot"], F.substring(F.lower(F.lpad(F.hex(r["hash"]), 16, "0")), 1, 8)))
+        return let(F.map_from_entries(F.filter(digits, lambda r: r["slot"] >= 0)), written_out)
 
     return let(kept, of_kept)
 
