@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomfield.sources.tables import written
+from loomfield.sources.tables import ship, written
 
 
 #: ln n! less Stirling's formula, for small n.
@@ -172,6 +172,8 @@ def mann_whitney(first: list[float], second: list[float]) -> float:
 
 
 def _udf(f: Callable[..., float]) -> Callable[..., Column]:
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def of(*columns: pd.Series) -> pd.Series:
         return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype="float64")
@@ -200,6 +202,8 @@ def p_student(t: Column, df: Column) -> Column:
 
 
 def p_mann_whitney(first: Column, second: Column) -> Column:
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([mann_whitney(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")

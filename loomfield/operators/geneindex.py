@@ -7,7 +7,7 @@ from functools import reduce
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import stats
@@ -33,6 +33,7 @@ def _bucket(z: Column, bits: int) -> Column:
     if bits <= LITERAL_BITS:
         bounds = F.array(*[F.lit(_normal().inv_cdf(j / (1 << bits))) for j in range(1, 1 << bits)])
         return F.size(F.filter(bounds, lambda b: b <= z))
+    tables.ship(SparkSession.active())
 
     @F.pandas_udf("int")
     def of(x: pd.Series) -> pd.Series:
@@ -47,6 +48,7 @@ def _middle(bucket: Column, bits: int) -> Column:
         raise ValueError("values of more than 16 bits are not decoded")
     if bits <= LITERAL_BITS:
         return F.get(F.array(*[F.lit(_normal().inv_cdf((j + 0.5) / (1 << bits))) for j in range(1 << bits)]), bucket)
+    tables.ship(SparkSession.active())
 
     @F.pandas_udf("double")
     def of(x: pd.Series) -> pd.Series:

@@ -383,7 +383,7 @@ tt AS (SELECT count(*) AS n_cells, count(*) FILTER (label = '{CT}') AS n_center
 e AS (SELECT motif, n_center_motif, n_center, n_motif, n_cells, n_center * n_motif / n_cells AS expectation,
   coalesce((SELECT sum(exp(lgamma(n_center + 1) - lgamma(i + 1) - lgamma(n_center - i + 1) + lgamma(n_cells - n_center + 1) - lgamma(n_motif - i + 1) - lgamma(n_cells - n_center - n_motif + i + 1) - lgamma(n_cells + 1) + lgamma(n_motif + 1) + lgamma(n_cells - n_motif + 1)))
     FROM range(n_center_motif + 1, least(n_center, n_motif) + 1) AS t(i) WHERE n_motif - i <= n_cells - n_center), 0) AS p FROM cnt, tt),
-rk AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p) AS raw FROM e)
+rk AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM e)
 SELECT array_to_string(motif, '+') AS motif, n_center_motif, n_center, n_motif, n_cells, round(expectation, 6) AS expectation, round(p, 6) AS p_value, round(least(1, min(raw) OVER (ORDER BY p DESC)), 6) AS adj_p_value FROM rk"""
 
 
@@ -438,7 +438,7 @@ mw AS (SELECT motif, avg(support) FILTER (dataset = 'ASIA') AS a1, avg(support)
 us AS (SELECT list_sum(list_filter(range(1, 11), lambda i: (n >> (i - 1)) & 1 = 1)) - 15 AS u FROM range(1024) AS t(n) WHERE bit_count(n) = 5),
 mz AS (SELECT *, coalesce(""" + z + """, 0) AS z FROM mw),
 mp4 AS (SELECT *, CASE WHEN ties = 0 THEN least(1, 2 * (SELECT count(*) FROM us WHERE us.u >= mz.u) / 252) WHEN ties = 990 THEN 1 ELSE least(1, 2 * (1 - (""" + PHI.format(z="z") + """))) END AS p FROM mz),
-rw AS (SELECT *, round(p, 12) AS rp, p * count(*) OVER () / rank() OVER (ORDER BY round(p, 12)) AS raw FROM mp4)
+rw AS (SELECT *, round(p, 12) AS rp, p * count(*) OVER () / count(*) OVER (ORDER BY round(p, 12)) AS raw FROM mp4)
 SELECT array_to_string(motif, '+') AS itemset, round(a1, 6) AS mean_1, round(a2, 6) AS mean_2, k1 AS median_rank_1, k2 AS median_rank_2, round(p, 6) AS p_value, CASE WHEN k1 > k2 THEN 'ASIA' ELSE 'EUROPE' END AS higher,
   round(least(1, min(raw) OVER (ORDER BY rp DESC)), 6) AS adj_p_value, least(1, min(raw) OVER (ORDER BY rp DESC)) < 0.05 AS if_significant FROM rw"""
 
@@ -489,7 +489,7 @@ def a13(spark, d):
 
 FISHER = """, lp AS (SELECT *, lgamma(n1 + 1) - lgamma(e1 + 1) - lgamma(n1 - e1 + 1) + lgamma(n2 + 1) - lgamma(e2 + 1) - lgamma(n2 - e2 + 1) AS own FROM pr WHERE p1 >= 0.05 OR p2 >= 0.05),
 fp AS (SELECT *, least(1, (SELECT sum(exp(t)) FROM (SELECT lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + lgamma(n2 + 1) - lgamma(e1 + e2 - i + 1) - lgamma(n2 - e1 - e2 + i + 1) - lgamma(n1 + n2 + 1) + lgamma(e1 + e2 + 1) + lgamma(n1 + n2 - e1 - e2 + 1) AS t FROM range(greatest(0, e1 + e2 - n2), least(n1, e1 + e2) + 1) AS r(i)) WHERE t <= own - lgamma(n1 + n2 + 1) + lgamma(e1 + e2 + 1) + lgamma(n1 + n2 - e1 - e2 + 1) + ln(1 + 1e-7))) AS p FROM lp),
-bh AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY round(p, 12)) AS rw FROM fp)
+bh AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY round(p, 12)) AS rw FROM fp)
 SELECT gene, round(p1, 6) AS proportion_1, round(p2, 6) AS proportion_2, round(abs(p1 - p2), 6) AS abs_difference, e1 AS a, n1 - e1 AS b, e2 AS c, n2 - e2 AS d, round(p, 6) AS p_value, round(least(1, min(rw) OVER (ORDER BY round(p, 12) DESC)), 6) AS adj_p_value, CASE WHEN p1 >= p2 THEN 'group1' ELSE 'group2' END AS de_in FROM bh"""
 
 
@@ -547,7 +547,7 @@ tp AS (SELECT *, 1 - exp(0.5 * ln(y) + df / 2 * ln(1 - y) - ln(0.5) - lgamma(0.5
 
 @_q("t9_de_tests", GROUPS + WELCH + WILCOXON + ", wp AS (SELECT v.*, " + TWO_SIDED.format(z="z") + """ AS p FROM v JOIN wz USING (gene)),
 al AS (SELECT 't-test' AS method, gene, m1, m2, p1, p2, p FROM tp UNION ALL SELECT 'wilcoxon', gene, m1, m2, p1, p2, p FROM wp),
-rw AS (SELECT *, round(p, 10) AS rp, p * count(*) OVER (PARTITION BY method) / rank() OVER (PARTITION BY method ORDER BY round(p, 10)) AS raw FROM al)
+rw AS (SELECT *, round(p, 10) AS rp, p * count(*) OVER (PARTITION BY method) / count(*) OVER (PARTITION BY method ORDER BY round(p, 10)) AS raw FROM al)
 SELECT method, gene, """ + FIGURES.replace("OVER (ORDER", "OVER (PARTITION BY method ORDER") + " FROM rw")
 def t9_tests(spark, d):
     kept = ["gene", "p_value", "adj_p_value", "log2fc", "proportion_1", "proportion_2", "abs_difference", "de_in"]
@@ -625,11 +625,11 @@ def _tests_sql(key: str = "") -> str:
 st AS (SELECT {tail}),
 ps AS (SELECT *, {TWO_SIDED.format(z="z_test1")} AS p1, {TWO_SIDED.format(z="z_test2")} AS p2 FROM st),
 lg AS (SELECT {id_}, 1 AS test, p1 AS p FROM ps WHERE sign(delta_corr_test1) = sign(delta_corr_test2) UNION ALL SELECT {id_}, 2, p2 FROM ps WHERE sign(delta_corr_test1) = sign(delta_corr_test2)),
-rw AS (SELECT *, round(p, 12) AS rp, p * count(*) OVER () / rank() OVER (ORDER BY round(p, 12)) AS raw FROM lg),
+rw AS (SELECT *, round(p, 12) AS rp, p * count(*) OVER () / count(*) OVER (ORDER BY round(p, 12)) AS raw FROM lg),
 ad AS (SELECT *, {BH.format(raw="raw", p="rp")} AS q FROM rw),
 aq AS (SELECT {id_}, max(q) FILTER (test = 1) AS q1, max(q) FILTER (test = 2) AS q2 FROM ad GROUP BY ALL)
 SELECT {id_}, round(p1, 6) AS p_value_test1, round(p2, 6) AS p_value_test2, round(q1, 6) AS adj_p_value_test1, round(q2, 6) AS adj_p_value_test2,
-  round(0.3 * delta_corr_test1 * -log10(p1 + 1e-300) + 0.7 * delta_corr_test2 * -log10(p2 + 1e-300), 5) AS combined_score, coalesce(q1 < 0.05 AND q2 < 0.05, false) AS if_significant FROM ps LEFT JOIN aq USING ({id_})"""
+  round(0.3 * delta_corr_test1 * -log10(p1 + 1e-300) + 0.7 * delta_corr_test2 * -log10(p2 + 1e-300), 5) + 0.0 AS combined_score, coalesce(q1 < 0.05 AND q2 < 0.05, false) AS if_significant FROM ps LEFT JOIN aq USING ({id_})"""
 
 
 TESTED = ["p_value_test1", "p_value_test2", "adj_p_value_test1", "adj_p_value_test2"]
