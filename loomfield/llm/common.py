@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import ship
 from loomfield.sources.tables import written as materialize
 
 __all__ = ["SPACE", "fresh", "let", "materialize", "scan", "ship", "table"]
@@ -23,20 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of every executor, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_loomfield_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="loomfield-")) / "loomfield.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(path))
-    context._loomfield_shipped = True
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have: name, or name with underscores after it."""
     taken = {c.lower() for c in df.columns}
