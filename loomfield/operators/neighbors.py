@@ -15,6 +15,10 @@ def _buckets(df: DataFrame, size: Column | float) -> DataFrame:
     return df.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
 
 
+def _dist2() -> Column:
+    return (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
+
+
 def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float) -> DataFrame:
     """Probes (fov, probe_id, x, y, ...) and points (fov, point_id, px, py, ...) at most radius apart, with dist2.
 
@@ -27,8 +31,7 @@ def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float) -> D
     kept = points.withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
     if isinstance(radius, Column):
         kept = kept.drop("_at")
-    dist2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    return asks.join(kept, ["fov", "gx", "gy"]).withColumn("dist2", dist2).where(F.col("dist2") <= size * size).drop("gx", "gy", "px", "py")
+    return asks.join(kept, ["fov", "gx", "gy"]).withColumn("dist2", _dist2()).where(F.col("dist2") <= size * size).drop("gx", "gy", "px", "py")
 
 
 def _points(cells: DataFrame) -> DataFrame:
@@ -133,17 +136,36 @@ def normalize(cells: DataFrame) -> DataFrame:
     return written(out.select("dataset", "fov", "cell_id", "label", "x", "y"), "cells")
 
 
+def _grid_boxes(cells: DataFrame, step: float) -> DataFrame:
+    """(dataset, fov, low_x, low_y, nx, ny): where each field of view's grid begins, and its columns and rows."""
+    box = cells.groupBy("dataset", "fov").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
+    box = box.withColumns({f"low_{c}": F.col(f"min_{c}") - step for c in ("x", "y")})
+    return box.select("dataset", "fov", "low_x", "low_y", *[F.ceil((F.col(f"max_{c}") + step - F.col(f"low_{c}")) / step).alias(f"n{c}") for c in ("x", "y")])
+
+
 def grid_probes(cells: DataFrame, step: float) -> DataFrame:
     """(fov, probe_id, x, y): points step apart from min - step on, below max + step, over each field of view."""
-    box = cells.groupBy("dataset", "fov").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)])
+    out = _grid_boxes(cells, step)
+    for c, i in (("x", "i"), ("y", "j")):
+        out = out.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{c}") - 1)))
+    return out.select("dataset", "fov", (F.col("i") * F.col("ny") + F.col("j")).alias("probe_id"), (F.col("low_x") + F.col("i") * step).alias("x"), (F.col("low_y") + F.col("j") * step).alias("y"))
+
+
+def grid_probe_join(cells: DataFrame, step: float, radius: float) -> DataFrame:
+    """probe_join() with grid_probes(). No probe is made that no cell is near: a cell's place gives the numbers of the
+    grid points within its square, so the work follows the cells, however large the box, and nothing is joined but a
+    row for each field of view."""
+    own = _points(cells).join(F.broadcast(_grid_boxes(cells, step)), "fov")
 
-    def axis(c: str) -> Column:
-        low = F.col(f"min_{c}") - step
-        n = F.ceil((F.col(f"max_{c}") + step - low) / step)
-        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(i.alias("i"), (low + i * step).alias("at")))
+    def reach(c: str) -> Column:
+        at, last = F.col(f"p{c}") - F.col(f"low_{c}"), F.col(f"n{c}") - 1
+        slack = radius * 1.000001 + F.abs(F.col(f"p{c}")) * 1e-15  # dist2 decides, not a rounded quotient
+        first = F.greatest(F.floor((at - slack) / step), F.lit(0).cast("long"))
+        return F.explode(F.sequence(F.least(first, last), F.least(F.ceil((at + slack) / step), last)))
 
-    out = box.select("dataset", "fov", F.explode(axis("x")).alias("gx"), axis("y").alias("ys"), F.size(axis("y")).alias("ny"))
-    return out.select("dataset", "fov", "gx", "ny", F.explode("ys").alias("gy")).select("dataset", "fov", (F.col("gx.i") * F.col("ny") + F.col("gy.i")).alias("probe_id"), F.col("gx.at").alias("x"), F.col("gy.at").alias("y"))
+    own = own.withColumn("i", reach("x")).withColumn("j", reach("y")).withColumns({"x": F.col("low_x") + F.col("i") * step, "y": F.col("low_y") + F.col("j") * step})
+    own = own.withColumn("dist2", _dist2()).where(F.col("dist2") <= F.lit(float(radius)) * radius)
+    return own.select("dataset", "fov", (F.col("i") * F.col("ny") + F.col("j")).alias("center_id"), "neighbor_id", "neighbor_label", "dist2")
 
 
 def random_probes(cells: DataFrame, n: int = 1000, seed: int = 2023) -> DataFrame:
@@ -160,8 +182,11 @@ def random_probes(cells: DataFrame, n: int = 1000, seed: int = 2023) -> DataFram
     return drawn.select("dataset", "fov", F.col("u.probe_id").alias("probe_id"), (F.col("x0") + F.col("u.ux") * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + F.col("u.uy") * (F.col("y1") - F.col("y0"))).alias("y"))
 
 
-def probe_join(cells: DataFrame, probes: DataFrame, radius: float) -> DataFrame:
-    """Probe points and the cells within the radius; a probe is no cell, so none is left out."""
+def probe_join(cells: DataFrame, probes: DataFrame | float, radius: float) -> DataFrame:
+    """Probe points and the cells within the radius; a probe is no cell, so none is left out. A number in place of the
+    probes is a grid of that step."""
+    if isinstance(probes, float):
+        return grid_probe_join(cells, probes, radius)
     found = grid_join(probes, _points(cells), radius)
     return found.select("dataset", "fov", F.col("probe_id").alias("center_id"), "neighbor_id", "neighbor_label", "dist2")
 

@@ -317,7 +317,7 @@ HIT_SETS = "SELECT fov, center_id, list(DISTINCT neighbor_label) AS labels FROM
 @_q("a5_patterns_grid", GRID_SQL + ", " + _mine_sql(HIT_SETS, 0.5))
 def a5(spark, d):
     c = cells(spark, d)
-    return _patterns(pat.maximal(pat.mine(pat.transactions(nb.probe_join(c, nb.grid_probes(c, 5.0), 5.0)), 0.5)))
+    return _patterns(pat.maximal(pat.mine(pat.transactions(nb.probe_join(c, 5.0, 5.0)), 0.5)))
 
 
 @_q("a6_patterns_random", RANDOM_SQL + ", " + _mine_sql(HIT_SETS, 0.5))

@@ -181,3 +181,12 @@ def test_tables(spark, tmp_path):
     assert tables.load(spark, str(tmp_path / "t")).count() == 1
     with pytest.raises(ValueError):
         tables.merge(cells, cells.drop("x"))
+
+
+def test_grid_probes_follow_the_cells(spark, cloud):
+    rows, cells = cloud
+    got = {(r.fov, r.center_id, r.neighbor_id) for r in nb.probe_join(cells, 2.5, 2.0).collect()}
+    assert got == {(r.fov, r.center_id, r.neighbor_id) for r in nb.probe_join(cells, nb.grid_probes(cells, 2.5), 2.0).collect()} and got
+    # A box of 4e12 grid points, which no table of them could hold, for three cells.
+    wide = points(spark, [("A", 0.0, 0.0), ("A", 1.0, 0.0), ("B", 1e7, 1e7)])
+    assert {(r.center_id // 2_000_002, r.center_id % 2_000_002, r.neighbor_id) for r in nb.probe_join(wide, 5.0, 4.9).collect()} == {(1, 1, 0), (1, 1, 1), (2, 1, 1), (2_000_001, 2_000_001, 2)}
