@@ -208,7 +208,7 @@ hits AS (SELECT p.dataset, p.fov, probe_id AS center_id, cell_id AS neighbor_id,
 @_q("j4_probe_grid", GRID_SQL + " SELECT fov, center_id AS probe_id, count(*) AS n FROM hits GROUP BY ALL")
 def j4(spark, d):
     c = cells(spark, d)
-    return nb.probe_join(c, nb.grid_probes(c, 5.0), 5.0).groupBy("fov", F.col("center_id").alias("probe_id")).agg(F.count("*").alias("n"))
+    return nb.probe_join(c, 5.0, 5.0).groupBy("fov", F.col("center_id").alias("probe_id")).agg(F.count("*").alias("n"))
 
 
 def _units(n: int = 1000, seed: int = 2023) -> str:
