@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.sources.tables import written
 
 from .neighbors import probe_join, radius_join
-from .patterns import has_motif, holds
+from .patterns import holds
 
 
 def label_distribution(cells: DataFrame, by: str = "dataset") -> DataFrame:
@@ -42,10 +42,19 @@ def frequent_labels(cells: DataFrame, fov: str, min_cells: int = 0) -> DataFrame
     return own.withColumn("label", F.when(n >= min_cells, F.col("label")).otherwise("other")).select("cell_id", "x", "y", "label")
 
 
-def motif_probes(cells: DataFrame, probes: DataFrame, motif: list[str], max_dist: float) -> DataFrame:
-    """Probe points whose neighbourhood has the motif, each label as often as named, with how many cells it holds."""
-    sets = probe_join(cells, probes, max_dist).groupBy("fov", "center_id").agg(F.collect_list("neighbor_label").alias("labels"))
-    return sets.where(has_motif(F.col("labels"), F.array(*map(F.lit, motif)))).select("fov", F.col("center_id").alias("probe_id"), F.size("labels").cast("long").alias("n"))
+def _probes_with(near: DataFrame, motif: list[str]) -> DataFrame:
+    """(fov, center_id, n): probe points with the motif, each label as often as named, from counts of its labels alone."""
+    wanted = sorted(set(motif))
+    found = near.groupBy("fov", "center_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("neighbor_label") == m).alias(f"_{i}") for i, m in enumerate(wanted)])
+    for i, m in enumerate(wanted):
+        found = found.where(F.col(f"_{i}") >= motif.count(m))
+    return found.select("fov", "center_id", "n")
+
+
+def motif_probes(cells: DataFrame, probes: DataFrame | float, motif: list[str], max_dist: float) -> DataFrame:
+    """Probe points whose neighbourhood has the motif, each label as often as named, with how many cells it holds. Probes
+    are rows, or the step of a grid."""
+    return _probes_with(probe_join(cells, probes, max_dist), motif).withColumnRenamed("center_id", "probe_id")
 
 
 def motif_roles(cells: DataFrame, ct: str, motif: list[str], max_dist: float) -> DataFrame:
@@ -66,11 +75,10 @@ def motif_matrix(patterns: DataFrame, order: str = "freq") -> DataFrame:
     return patterns.withColumn("motif", F.concat(F.lit("motif_"), no.cast("string"))).select("motif", F.explode("itemset").alias("label"), order)
 
 
-def motif_probe_cells(cells: DataFrame, probes: DataFrame, motif: list[str], max_dist: float) -> DataFrame:
+def motif_probe_cells(cells: DataFrame, probes: DataFrame | float, motif: list[str], max_dist: float) -> DataFrame:
     """(fov, cell_id, label): cells with a label of the motif round the probe points that motif_probes() finds."""
     near = written(probe_join(cells, probes, max_dist), "near")
-    sets = near.groupBy("fov", "center_id").agg(F.collect_list("neighbor_label").alias("labels"))
-    sets = sets.where(has_motif(F.col("labels"), F.array(*map(F.lit, motif)))).select("fov", "center_id")
+    sets = _probes_with(near, motif).select("fov", "center_id")
     own = near.where(F.col("neighbor_label").isin(motif)).join(sets, ["fov", "center_id"], "left_semi")
     return own.select("fov", F.col("neighbor_id").alias("cell_id"), F.col("neighbor_label").alias("label")).distinct()
 

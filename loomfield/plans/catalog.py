@@ -803,7 +803,7 @@ def a25(spark, d):
 @_q("p12_motif_probes", GRID_SQL + " SELECT fov, center_id AS probe_id, count(*) AS n FROM hits GROUP BY ALL HAVING count(*) FILTER (neighbor_label = '1-URGENT') >= 2 AND count(*) FILTER (neighbor_label = '2-HIGH') >= 1")
 def p12(spark, d):
     c = cells(spark, d)
-    return summary.motif_probes(c, nb.grid_probes(c, 5.0), ["1-URGENT", "1-URGENT", "2-HIGH"], 5.0)
+    return summary.motif_probes(c, 5.0, ["1-URGENT", "1-URGENT", "2-HIGH"], 5.0)
 
 
 @_q("v1_frequent_labels", f"SELECT cell_id, round(x, 6) AS x, round(y, 6) AS y, CASE WHEN count(*) OVER (PARTITION BY label) >= 110 THEN label ELSE 'other' END AS label FROM cells WHERE fov = '{FOV}'")

@@ -11,6 +11,7 @@ from loomfield.operators import enrichment as enr
 from loomfield.operators import expression as exp
 from loomfield.operators import neighbors as nb
 from loomfield.operators import patterns as pat
+from loomfield.operators import summary
 from loomfield.sources import tables
 
 SCHEMA = "dataset string, fov string, cell_id long, label string, x double, y double"
@@ -190,3 +191,5 @@ def test_grid_probes_follow_the_cells(spark, cloud):
     # A box of 4e12 grid points, which no table of them could hold, for three cells.
     wide = points(spark, [("A", 0.0, 0.0), ("A", 1.0, 0.0), ("B", 1e7, 1e7)])
     assert {(r.center_id // 2_000_002, r.center_id % 2_000_002, r.neighbor_id) for r in nb.probe_join(wide, 5.0, 4.9).collect()} == {(1, 1, 0), (1, 1, 1), (2, 1, 1), (2_000_001, 2_000_001, 2)}
+    found = summary.motif_probes(wide, 5.0, ["A", "A"], 4.9).collect()
+    assert [r.n for r in found] == [2]
