@@ -9,8 +9,8 @@ from loomfield.functions import stats
 from loomfield.sources.tables import written
 
 from .expression import frequent_genes, label_means
-from .neighbors import check_label, known_labels, neighbors
-from .patterns import holds
+from .neighbors import check_label, known_labels, neighbors, parts
+from .patterns import with_motif
 
 KEPT = ["dataset", "fov", "center_id", "neighbor_id", "neighbor_label"]
 
@@ -20,12 +20,8 @@ def motif_pairs(cells: DataFrame, ct: str, motif: list[str], max_dist: float | N
 
     By radius, a neighbourhood of fewer than min_size doesn't qualify. If ct is in the motif, neighbours labelled ct
     stand on the centres' side: each centre and each of its ct-neighbours pairs with its other motif neighbours."""
-    near = neighbors(cells, cells.where(F.col("label") == ct), max_dist, k)
-    sets = near.groupBy("fov", "center_id").agg(F.collect_set("neighbor_label").alias("labels"), F.count("*").alias("size"))
-    sets = sets.where(holds(F.col("labels"), F.array(*map(F.lit, motif))))
-    if k is None:
-        sets = sets.where(F.col("size") >= min_size)
-    near = near.join(sets.select("fov", "center_id"), ["fov", "center_id"], "left_semi").where(F.col("neighbor_label").isin(motif)).select(KEPT)
+    near = with_motif(neighbors(cells, cells.where(F.col("label") == ct), max_dist, k), motif, min_size if k is None else 0)
+    near = near.where(F.col("neighbor_label").isin(motif)).select(KEPT)
     if ct not in motif:
         return written(near.distinct(), "pairs")
     other = near.where(F.col("neighbor_label") != ct)
@@ -37,13 +33,16 @@ def motif_pairs(cells: DataFrame, ct: str, motif: list[str], max_dist: float | N
 def other_pairs(cells: DataFrame, ct: str, without: DataFrame, max_dist: float | None = None, k: int | None = None, min_size: int = 0) -> DataFrame:
     """Distinct pairs of centres of label ct and neighbours of other labels, less the centres and neighbours of the
     pairs `without`."""
-    near = neighbors(cells, cells.where(F.col("label") == ct), max_dist, k)
-    if k is None and min_size > 0:
-        full = near.groupBy("fov", "center_id").count().where(F.col("count") >= min_size).select("fov", "center_id")
-        near = near.join(full, ["fov", "center_id"], "left_semi")
+    centers = without.select("fov", F.col("center_id").alias("cell_id")).distinct()
+    taken = without.select("fov", F.col("neighbor_id").alias("cell_id")).distinct()
+    own = cells.where(F.col("label") == ct).join(centers, ["fov", "cell_id"], "left_anti")
+    if k is None and min_size <= 0:  # what isn't asked for is no part of the join
+        return neighbors(cells.where(F.col("label") != ct).join(taken, ["fov", "cell_id"], "left_anti"), own, max_dist, n=parts(cells)).select(KEPT).distinct()
+    near = neighbors(cells, own, max_dist, k)
+    if k is None:
+        near = with_motif(near, [], min_size)
     near = near.where(F.col("neighbor_label") != ct)
-    near = near.join(without.select("fov", "center_id").distinct(), ["fov", "center_id"], "left_anti")
-    return near.join(without.select("fov", "neighbor_id").distinct(), ["fov", "neighbor_id"], "left_anti").select(KEPT).distinct()
+    return near.join(taken.withColumnRenamed("cell_id", "neighbor_id"), ["fov", "neighbor_id"], "left_anti").select(KEPT).distinct()
 
 
 def distant_cells(cells: DataFrame, ct: str, motif: list[str], pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import stats
 from loomfield.sources.tables import of_datasets, written
 
-from .neighbors import check_label, known_labels, knn_join, radius_join
+from .neighbors import by_center, check_label, known_labels, knn_join, radius_join
 from .patterns import holds, maximal, mine, transactions
 
 
@@ -27,7 +27,7 @@ def motif_counts(cells: DataFrame, pairs: DataFrame, ct: str, motifs: DataFrame)
     of any label whose neighbourhood has the motif, and those that are both. Neighbourhoods are found once for all
     motifs, and each is matched where it is. A field of view without a label of the motif adds to cells and centres
     alone. A label that the motif names m times divides the centres by m, rounded half to even."""
-    sets = pairs.groupBy("dataset", "fov", "center_id", "center_label").agg(F.collect_set("neighbor_label").alias("labels"))
+    sets = pairs.groupBy("dataset", *by_center(pairs, "center_label")).agg(F.collect_set("neighbor_label").alias("labels"))
     sets = sets.groupBy("center_label", F.sort_array("labels").alias("labels")).agg(F.count("*").alias("_n"))
     sets = sets.withColumn("_m", motifs.agg(F.collect_list("itemset")).scalar())
     motif = F.explode(F.filter("_m", lambda m: holds(F.col("labels"), m))).alias("motif")

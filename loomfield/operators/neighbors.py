@@ -10,28 +10,48 @@ from pyspark.sql import functions as F
 from loomfield.sources.tables import written
 
 
-def _buckets(df: DataFrame, size: Column | float) -> DataFrame:
-    size = size if isinstance(size, Column) else F.lit(float(size))
-    return df.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+#: Radii that a bucket is wide.
+WIDE = 4
+
+#: Cells in one part of a join over all of them.
+ROWS = 60_000
+
+#: A center's bucket. Each center lies in one, so groups of these and the center are those of the center, and the rows
+#: are already parted by them.
+BUCKET = ["_gx", "_gy"]
 
 
 def _dist2() -> Column:
     return (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
 
 
-def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float) -> DataFrame:
-    """Probes (fov, probe_id, x, y, ...) and points (fov, point_id, px, py, ...) at most radius apart, with dist2.
+def parts(cells: DataFrame) -> int:
+    """Into how many parts a join over the cells goes: ROWS cells each, so that a task's share doesn't grow with them."""
+    return max(1, math.ceil(cells.count() / ROWS))
+
 
-    Both sides go to buckets of the radius' size; each probe asks its own bucket and the eight round it, so the join is
-    on equal keys and a pair comes up once. A crowded bucket is a skewed key, which the skew join splits. A radius that
-    differs by field of view is the column `_at` of both sides."""
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asks = _buckets(probes, radius).withColumn("_o", F.explode(offsets)).withColumns({"gx": F.col("gx") + F.col("_o.i"), "gy": F.col("gy") + F.col("_o.j")}).drop("_o")
+def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float, n: int | None = None) -> DataFrame:
+    """Probes (fov, probe_id, x, y, ...) and points (fov, point_id, px, py, ...) at most radius apart, with dist2 and the
+    probe's BUCKET.
+
+    Both sides go to buckets of WIDE radii: a probe to its own, a point to all that its square touches, (1 + 2 / WIDE)**2
+    on the mean, so the join is on equal keys and a pair comes up once. All pairs of a probe are in one bucket, so what
+    is asked of them by probe needs no further exchange. A radius that differs by field of view is the column `_at` of
+    both sides. n is the number of parts; the planner's, if None."""
     size = radius if isinstance(radius, Column) else F.lit(float(radius))
-    kept = points.withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
+    wide = size * WIDE
+    asks = probes.withColumns({"_gx": F.floor(F.col("x") / wide), "_gy": F.floor(F.col("y") / wide)})
+
+    def reach(c: str) -> Column:
+        slack = size * 1.000001 + F.abs(c) * 1e-15  # dist2 decides, not a rounded quotient
+        return F.explode(F.sequence(F.floor((F.col(c) - slack) / wide), F.floor((F.col(c) + slack) / wide)))
+
+    kept = points.withColumn("_gx", reach("px")).withColumn("_gy", reach("py"))
     if isinstance(radius, Column):
         kept = kept.drop("_at")
-    return asks.join(kept, ["fov", "gx", "gy"]).withColumn("dist2", _dist2()).where(F.col("dist2") <= size * size).drop("gx", "gy", "px", "py")
+    if n:
+        asks, kept = asks.repartition(n, "fov", *BUCKET), kept.repartition(n, "fov", *BUCKET)
+    return asks.join(kept, ["fov", *BUCKET]).withColumn("dist2", _dist2()).where(F.col("dist2") <= size * size).drop("px", "py")
 
 
 def _points(cells: DataFrame) -> DataFrame:
@@ -45,10 +65,16 @@ def _centers(cells: DataFrame) -> DataFrame:
 PAIRS = ["dataset", "fov", "center_id", "center_label", "neighbor_id", "neighbor_label", "dist2"]
 
 
-def radius_join(cells: DataFrame, radius: float, centers: DataFrame | None = None) -> DataFrame:
-    """All (center, neighbor) pairs within the radius, boundary included; a cell is no neighbour of its own."""
-    found = grid_join(_centers(cells if centers is None else centers), _points(cells), radius)
-    return found.where("center_id <> neighbor_id").select(PAIRS)
+def by_center(pairs: DataFrame, *more: str) -> list[str]:
+    """The columns that tell centers apart: with their buckets, where the pairs have them."""
+    return ["fov", *[c for c in BUCKET if c in pairs.columns], "center_id", *more]
+
+
+def radius_join(cells: DataFrame, radius: float, centers: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """All (center, neighbor) pairs within the radius, boundary included, with the center's BUCKET; a cell is no
+    neighbour of its own."""
+    found = grid_join(_centers(cells if centers is None else centers), _points(cells), radius, n or parts(cells))
+    return found.where("center_id <> neighbor_id").select(*PAIRS, *BUCKET)
 
 
 def knn_join(cells: DataFrame, k: int, max_dist: float, centers: DataFrame | None = None, strict: bool = False) -> DataFrame:
@@ -60,23 +86,26 @@ def knn_join(cells: DataFrame, k: int, max_dist: float, centers: DataFrame | Non
     doesn't hold those before it."""
     centers = cells if centers is None else centers
     radius = math.sqrt(3 * k / (math.pi * 0.25))  # mean nearest distance 1: a density of about a quarter
-    order = Window.partitionBy("fov", "center_id").orderBy("dist2", "neighbor_id")
-    done = None
+    own = Window.partitionBy("fov", *BUCKET, "center_id")
+    done, n = None, parts(cells)
     while True:
         last = radius * 1.5 >= max_dist
-        near = radius_join(cells, max_dist if last else radius, centers)
+        near = radius_join(cells, max_dist if last else radius, centers, n)
         if strict and last:
             near = near.where(F.col("dist2") < max_dist * max_dist)
-        near = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        near = near.withColumn("nth", F.row_number().over(own.orderBy("dist2", "neighbor_id"))).where(F.col("nth") <= k)
         if not last:
-            near = written(near, "near")
+            near = written(near.withColumn("_full", F.count("*").over(own) == k), "near").where("_full").drop("_full")
             full = near.where(F.col("nth") == k).select("fov", F.col("center_id").alias("cell_id"))
-            near = near.join(full.withColumnRenamed("cell_id", "center_id"), ["fov", "center_id"], "left_semi")
             centers = written(centers.join(full, ["fov", "cell_id"], "left_anti"), "centers")
             last = not centers.take(1)
+            if done is not None or not last:
+                near = near.drop(*BUCKET)  # of this round's radius
+        elif done is not None:
+            near = near.drop(*BUCKET)
         done = near if done is None else done.unionByName(near)
         if last:
-            return done.select(*PAIRS, "nth")
+            return done.select(*PAIRS, *[c for c in BUCKET if c in done.columns], "nth")
         radius *= 2
 
 
@@ -115,13 +144,16 @@ def nearest_distance(cells: DataFrame) -> DataFrame:
     written tables."""
     cells = cells.select("fov", "cell_id", "x", "y")
     cells = written(cells, "points")
+    n = parts(cells)
     rest, done, scale, step = cells.join(_first_radius(cells), "fov"), None, 1.0, 4.0
     points = rest.select("fov", F.col("cell_id").alias("neighbor_id"), F.col("x").alias("px"), F.col("y").alias("py"), "_r", "_end")
     while True:
         own = F.least(F.col("_r") * scale, F.col("_end"))
-        found = grid_join(rest.withColumn("_at", own), points.withColumn("_at", own).drop("_r", "_end"), F.col("_at")).where("cell_id <> neighbor_id")
-        found = written(found.groupBy("fov", "cell_id").agg(F.min("dist2").alias("dist2")), "nearest")
+        found = grid_join(rest.select("fov", "cell_id", "x", "y", own.alias("_at")), points.withColumn("_at", own).drop("_r", "_end"), F.col("_at"), n).where("cell_id <> neighbor_id")
+        found = written(found.groupBy("fov", *BUCKET, "cell_id").agg(F.min("dist2").alias("dist2")).drop(*BUCKET), "nearest")
         done = found if done is None else done.unionByName(found)
+        if found.count() == rest.count():
+            return done
         rest = written(rest.join(found.select("fov", "cell_id"), ["fov", "cell_id"], "left_anti"), "rest")
         if not rest.take(1):
             return done
@@ -191,11 +223,11 @@ def probe_join(cells: DataFrame, probes: DataFrame | float, radius: float) -> Da
     return found.select("dataset", "fov", F.col("probe_id").alias("center_id"), "neighbor_id", "neighbor_label", "dist2")
 
 
-def neighbors(cells: DataFrame, centers: DataFrame, max_dist: float | None = None, k: int | None = None, cutoff: float = 100.0) -> DataFrame:
-    """Pairs by radius or by k, one of which must be given."""
+def neighbors(cells: DataFrame, centers: DataFrame, max_dist: float | None = None, k: int | None = None, cutoff: float = 100.0, n: int | None = None) -> DataFrame:
+    """Pairs by radius or by k, one of which must be given; n as in grid_join()."""
     if (max_dist is None) == (k is None):
         raise ValueError("give either max_dist or k")
-    return radius_join(cells, max_dist, centers) if k is None else knn_join(cells, k, cutoff, centers).select(PAIRS)
+    return radius_join(cells, max_dist, centers, n) if k is None else knn_join(cells, k, cutoff, centers).drop("nth")
 
 
 def check_label(cells: DataFrame, label: str) -> None:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.sources.tables import written
 
+from .neighbors import BUCKET, by_center
+
 #: Labels in one transaction up to which all its subsets are counted at once; wider ones are mined level by level.
 ENUMERATED = 8
 
 
 def label_counts(pairs: DataFrame) -> DataFrame:
     """The neighbourhood matrix in long form: (fov, center_id, neighbor_label, n)."""
-    return pairs.groupBy("dataset", "fov", "center_id", "neighbor_label").agg(F.count("*").alias("n"))
+    return pairs.groupBy("dataset", *by_center(pairs), "neighbor_label").agg(F.count("*").alias("n")).drop(*BUCKET)
 
 
 def transactions(pairs: DataFrame, min_size: int = 0, centers: DataFrame | None = None) -> DataFrame:
     """(dataset, fov, center_id, labels, size): distinct labels of neighbourhoods with size > min_size. With centers,
     those without neighbours count too, as empty transactions."""
-    out = pairs.groupBy("dataset", "fov", "center_id").agg(F.sort_array(F.collect_set("neighbor_label")).alias("labels"), F.count("*").alias("size"))
+    out = pairs.groupBy("dataset", *by_center(pairs)).agg(F.sort_array(F.collect_set("neighbor_label")).alias("labels"), F.count("*").alias("size")).drop(*BUCKET)
     if centers is not None:
         every = centers.select("dataset", "fov", F.col("cell_id").alias("center_id"))
         out = every.join(out, ["dataset", "fov", "center_id"], "left").withColumns({"labels": F.coalesce("labels", F.array().cast("array<string>")), "size": F.coalesce("size", F.lit(0).cast("long"))})
@@ -97,6 +101,14 @@ def holds(labels: Column, motif: Column) -> Column:
     return F.size(F.array_except(motif, labels)) == 0
 
 
+def with_motif(pairs: DataFrame, motif: list[str], min_size: int = 0) -> DataFrame:
+    """The pairs of centers whose neighbourhood, of min_size or more, has every label of the motif."""
+    own = Window.partitionBy(*by_center(pairs))
+    has = [F.max(F.col("neighbor_label") == m).over(own) for m in motif]
+    ok = {"_has": reduce(Column.__and__, has, F.lit(True)), "_size": F.count("*").over(own)}
+    return pairs.withColumns(ok).where(F.col("_has") & (F.col("_size") >= min_size)).drop(*ok)
+
+
 def has_motif(neighbors: Column, motif: Column) -> Column:
     """Multiset containment: the array has each label at least as often as the motif."""
     return F.forall(motif, lambda m: F.size(F.filter(neighbors, lambda x: x == m)) >= F.size(F.filter(motif, lambda x: x == m)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfield.sources.tables import written
 
-from .neighbors import probe_join, radius_join
+from .neighbors import by_center, probe_join, radius_join
 from .patterns import holds
 
 
@@ -28,8 +28,8 @@ def niche_composition(cells: DataFrame, ct: str, labels: list[str], max_dist: fl
     """(fov, center_id, label, proportion): for centres with all the labels round them, the share of each of those
     among all neighbours."""
     pairs = radius_join(cells, max_dist, cells.where(F.col("label") == ct))
-    n = pairs.groupBy("fov", "center_id", "neighbor_label").agg(F.count("*").alias("n"))
-    every = Window.partitionBy("fov", "center_id")
+    n = pairs.groupBy(*by_center(pairs), "neighbor_label").agg(F.count("*").alias("n"))
+    every = Window.partitionBy(*by_center(pairs))
     n = n.withColumns({"_all": F.sum("n").over(every), "_has": F.collect_set("neighbor_label").over(every)})
     out = n.where(holds(F.col("_has"), F.array(*map(F.lit, labels))) & F.col("neighbor_label").isin(labels))
     return out.select("fov", "center_id", F.col("neighbor_label").alias("label"), (F.col("n") / F.col("_all")).alias("proportion"))
@@ -61,7 +61,7 @@ def motif_roles(cells: DataFrame, ct: str, motif: list[str], max_dist: float) ->
     """(fov, cell_id, label, role): qualifying centres, the motif's cells round them (no qualifying centre among these),
     and all other cells."""
     pairs = radius_join(cells, max_dist, cells.where(F.col("label") == ct))
-    sets = pairs.groupBy("fov", "center_id").agg(F.collect_set("neighbor_label").alias("labels")).where(holds(F.col("labels"), F.array(*map(F.lit, motif))))
+    sets = pairs.groupBy(*by_center(pairs)).agg(F.collect_set("neighbor_label").alias("labels")).where(holds(F.col("labels"), F.array(*map(F.lit, motif))))
     centers = sets.select("fov", F.col("center_id").alias("cell_id"), F.lit(1).alias("_center"))
     near = pairs.join(sets.select("fov", "center_id"), ["fov", "center_id"], "left_semi").where(F.col("neighbor_label").isin(motif)).select("fov", F.col("neighbor_id").alias("cell_id"), F.lit(1).alias("_near")).distinct()
     out = cells.select("fov", "cell_id", "label").join(centers, ["fov", "cell_id"], "left").join(near, ["fov", "cell_id"], "left")

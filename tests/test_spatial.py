@@ -193,3 +193,41 @@ def test_grid_probes_follow_the_cells(spark, cloud):
     assert {(r.center_id // 2_000_002, r.center_id % 2_000_002, r.neighbor_id) for r in nb.probe_join(wide, 5.0, 4.9).collect()} == {(1, 1, 0), (1, 1, 1), (2, 1, 1), (2_000_001, 2_000_001, 2)}
     found = summary.motif_probes(wide, 5.0, ["A", "A"], 4.9).collect()
     assert [r.n for r in found] == [2]
+
+
+def test_a_center_keeps_to_one_bucket(spark, cloud, monkeypatch):
+    """What is asked by center needs no exchange of the pairs: two exchanges, those of the join's sides."""
+    rows, cells = cloud
+    monkeypatch.setattr(nb, "ROWS", 100)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for asked in (pat.transactions(nb.radius_join(cells, 2.0)), nb.knn_join(cells, 3, 2.0)):
+            plan = asked._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hash") == 2, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    pairs = nb.radius_join(cells, 2.0)
+    assert pairs.select("center_id", *nb.BUCKET).distinct().count() == pairs.select("center_id").distinct().count()
+
+
+def test_parts_follow_the_cells(spark, cloud, monkeypatch):
+    """More cells make more parts of a join, not larger ones; the pairs are the same."""
+    rows, cells = cloud
+    want = near(rows, 2.0)
+    monkeypatch.setattr(nb, "ROWS", 10)
+    found = nb.radius_join(cells, 2.0)
+    assert found.rdd.getNumPartitions() == 40 and {(r.center_id, r.neighbor_id) for r in found.collect()} == want
+
+
+def test_other_pairs_by_every_way(spark, cloud):
+    """Centres and neighbours left out before the join, or after it where all neighbours count, give the pairs of plain loops."""
+    rows, cells = cloud
+    pairs = cov.motif_pairs(cells, "A", ["B", "C"], 0.8)
+    centers, taken = {(r.fov, r.center_id) for r in pairs.collect()}, {(r.fov, r.neighbor_id) for r in pairs.collect()}
+    of = {r[2]: r for r in rows}
+    full = [(a, b) for a, b in near(rows, 0.8) if of[a][3] == "A"]
+    want = {(a, b) for a, b in full if of[b][3] != "A" and (of[a][1], a) not in centers and (of[b][1], b) not in taken}
+    assert {(r.center_id, r.neighbor_id) for r in cov.other_pairs(cells, "A", pairs, 0.8).collect()} == want and want
+    want = {(a, b) for a, b in want if sum(x == a for x, _ in full) >= 2}
+    assert {(r.center_id, r.neighbor_id) for r in cov.other_pairs(cells, "A", pairs, 0.8, min_size=2).collect()} == want
