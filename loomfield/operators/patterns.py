@@ -90,6 +90,7 @@ def maximal(found: DataFrame, by: list[str] | None = None, key: str = "itemset")
 def maximal_of_any(found: DataFrame, key: str = "itemset") -> DataFrame:
     """The sets in the column key that no other row strictly contains, for tables that aren't closed downwards: sets
     meet on each label, and a set that another has all labels of is dropped."""
+    found = written(found, "sets")  # four parts of the plan read it
     own = found.select(F.sort_array(F.array_distinct(key)).alias("_s")).distinct()
     at = own.select(F.explode("_s").alias("_l"), "_s")
     over = at.join(at.select("_l", F.col("_s").alias("_t")), "_l").where("size(_s) < size(_t)").groupBy("_s", "_t").count().where("count = size(_s)")
