@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 FORMAT_VERSION = 1
 
+#: Rows in one part of what is summed by cell.
+ROWS = 250_000
+
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor, once per application."""
@@ -108,10 +112,13 @@ def orders_as_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_as_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell_id, gene, value): the quantity of each brand in an order."""
+    """(cell_id, gene, value): the quantity of each brand in an order. Lines are parted by order before they are summed,
+    ROWS in a part, so that no task's sums grow with the table, and what follows by cell needs no further exchange."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("value"))
+    n = max(1, math.ceil(lines.count() / ROWS))
+    own = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand", "l_quantity").repartition(n, "l_orderkey")
+    return own.groupBy(F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("value"))
 
 
 def expression(long: DataFrame, cells: DataFrame) -> DataFrame:

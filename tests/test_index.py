@@ -105,3 +105,12 @@ def test_frames_behind_figures(spark):
     assert rows == {("d1_motif_1", "a"): 2.0, ("d1_motif_1", "b"): 2.0, ("d1_motif_2", "c"): 3.0}
     pairs = spark.createDataFrame([("t", a, b, s, True) for a, b, s in (("g", "h", 1.0), ("h", "g", 2.0), ("g", "k", -1.0))] + [("t", "x", "y", 5.0, False)], "cell_type string, gene_center string, gene_motif string, combined_score double, if_significant boolean")
     assert {(r.sign, r.gene_center, r.score) for r in summary.pair_matrix(pairs).collect()} == {("positive", "g", 1.0), ("positive", "h", 2.0)}
+
+
+def test_sums_by_cell_in_parts(spark, small, monkeypatch):
+    """More lines make more parts, not larger sums in one; the values are the same."""
+    want = {tuple(r) for r in tables.orders_as_expression(spark, small).collect()}
+    monkeypatch.setattr(tables, "ROWS", 500)
+    found = tables.orders_as_expression(spark, small)
+    parts = found.rdd.glom().map(len).collect()
+    assert len(parts) >= tables.read(spark, small, "lineitem").count() / 500 and max(parts) < 1500 and {tuple(r) for r in found.collect()} == want
