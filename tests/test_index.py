@@ -1,6 +1,9 @@
 """The gene index, readers and table rules on hand-made inputs."""
 
+import itertools
 import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -114,3 +117,13 @@ def test_sums_by_cell_in_parts(spark, small, monkeypatch):
     found = tables.orders_as_expression(spark, small)
     parts = found.rdd.glom().map(len).collect()
     assert len(parts) >= tables.read(spark, small, "lineitem").count() / 500 and max(parts) < 1500 and {tuple(r) for r in found.collect()} == want
+
+
+def test_gene_patterns_of_any_length(spark):
+    """Sets of every length that enough cells hold, by plain enumeration: none is left out for its five genes or six."""
+    rng = random.Random(5)
+    held = [sorted(rng.sample("ABCDEFG", rng.randint(1, 7))) for _ in range(60)]
+    expr = spark.createDataFrame([("d", "f", i, "l", g, 1.0) for i, own in enumerate(held) for g in own], "dataset string, fov string, cell_id long, label string, gene string, value double")
+    counts = Counter(s for own in held for n in range(2, 8) for s in itertools.combinations(own, n))
+    want = {s: c for s, c in counts.items() if c >= 12}
+    assert {tuple(r.itemset): r.freq for r in gi.gene_patterns(expr, min_cells=12).collect()} == want and max(map(len, want)) > 4
