@@ -7,27 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.sources.tables import written
+from loomfield.sources.tables import dealt, shares, stored, written
 
 
 #: Radii that a bucket is wide.
 WIDE = 4
 
 #: Cells in one part of a join over all of them.
-ROWS = 60_000
+ROWS = 120_000
 
 #: A center's bucket. Each center lies in one, so groups of these and the center are those of the center, and the rows
 #: are already parted by them.
 BUCKET = ["_gx", "_gy"]
 
 
-def _dist2() -> Column:
-    return (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
+def _dist2(px: str = "px", py: str = "py") -> Column:
+    return (F.col("x") - F.col(px)) * (F.col("x") - F.col(px)) + (F.col("y") - F.col(py)) * (F.col("y") - F.col(py))
 
 
 def parts(cells: DataFrame) -> int:
     """Into how many parts a join over the cells goes: ROWS cells each, so that a task's share doesn't grow with them."""
-    return max(1, math.ceil(cells.count() / ROWS))
+    return shares(cells.sparkSession, cells.count(), ROWS)
 
 
 def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float, n: int | None = None) -> DataFrame:
@@ -49,9 +49,12 @@ def grid_join(probes: DataFrame, points: DataFrame, radius: Column | float, n: i
     kept = points.withColumn("_gx", reach("px")).withColumn("_gy", reach("py"))
     if isinstance(radius, Column):
         kept = kept.drop("_at")
+    own = {"px": "_px", "py": "_py"}
     if n:
-        asks, kept = asks.repartition(n, "fov", *BUCKET), kept.repartition(n, "fov", *BUCKET)
-    return asks.join(kept, ["fov", *BUCKET]).withColumn("dist2", _dist2()).where(F.col("dist2") <= size * size).drop("px", "py")
+        asks, kept = asks.repartition(n, "fov", *BUCKET), dealt(kept, n, ["fov", *BUCKET], own)
+    else:
+        kept = kept.withColumnsRenamed(own)
+    return asks.join(kept, ["fov", *BUCKET]).withColumn("dist2", _dist2("_px", "_py")).where(F.col("dist2") <= size * size).drop(*own.values())
 
 
 def _points(cells: DataFrame) -> DataFrame:
@@ -139,32 +142,33 @@ def _first_radius(cells: DataFrame) -> DataFrame:
 
 
 def nearest_distance(cells: DataFrame) -> DataFrame:
-    """(fov, cell_id, dist2) of each cell's nearest other cell. Cells that find none within a first radius ask again at
+    """(fov, cell_id, dist2) of each cell's nearest other cell. Cells that find none within three quarters of a first radius ask again at
     4, then 64, then 4096 times the radius and so on, until it spans the field of view; a field of view of one cell raises ValueError. Rounds are
-    written tables."""
-    cells = cells.select("fov", "cell_id", "x", "y")
-    cells = written(cells, "points")
-    n = parts(cells)
-    rest, done, scale, step = cells.join(_first_radius(cells), "fov"), None, 1.0, 4.0
+    written tables: a cell meets itself in the join, so those that find no other are rows of the round too."""
+    cells = stored(cells, "points").select("fov", "cell_id", "x", "y")
+    rest, done, scale, step = cells.join(F.broadcast(_first_radius(cells)), "fov"), None, 0.75, 4.0
+    every, n = ["fov", "cell_id", "x", "y", "_r", "_end"], parts(cells)
     points = rest.select("fov", F.col("cell_id").alias("neighbor_id"), F.col("x").alias("px"), F.col("y").alias("py"), "_r", "_end")
     while True:
         own = F.least(F.col("_r") * scale, F.col("_end"))
-        found = grid_join(rest.select("fov", "cell_id", "x", "y", own.alias("_at")), points.withColumn("_at", own).drop("_r", "_end"), F.col("_at"), n).where("cell_id <> neighbor_id")
-        found = written(found.groupBy("fov", *BUCKET, "cell_id").agg(F.min("dist2").alias("dist2")).drop(*BUCKET), "nearest")
+        met = grid_join(rest.select(*every, own.alias("_at")), points.withColumn("_at", own).drop("_r", "_end"), F.col("_at"), n)
+        other = F.when(F.col("cell_id") != F.col("neighbor_id"), F.col("dist2"))
+        met = met.groupBy("fov", *BUCKET, "cell_id").agg(F.min(other).alias("dist2"), *[F.first(c).alias(c) for c in every[2:]])
+        met = written(met.drop(*BUCKET), "nearest")
+        found = met.where("dist2 is not null").select("fov", "cell_id", "dist2")
         done = found if done is None else done.unionByName(found)
-        if found.count() == rest.count():
+        rest = written(met.where("dist2 is null").select(every), "rest")
+        if not (left := rest.count()):
             return done
-        rest = written(rest.join(found.select("fov", "cell_id"), ["fov", "cell_id"], "left_anti"), "rest")
-        if not rest.take(1):
-            return done
-        scale, step = scale * step, step * 4
+        scale, step, n = scale * step, step * 4, n if left > ROWS else None  # few go to all tasks
 
 
 def normalize(cells: DataFrame) -> DataFrame:
     """cells with coordinates in units of the field of view's mean nearest distance, as a written table: everything
     else starts from it."""
+    cells = stored(cells, "points")
     scale = nearest_distance(cells).groupBy("fov").agg((1 / F.avg(F.sqrt("dist2"))).alias("_s"))
-    out = cells.join(scale, "fov").withColumns({"x": F.col("x") * F.col("_s"), "y": F.col("y") * F.col("_s")})
+    out = cells.join(F.broadcast(scale), "fov").withColumns({"x": F.col("x") * F.col("_s"), "y": F.col("y") * F.col("_s")})
     return written(out.select("dataset", "fov", "cell_id", "label", "x", "y"), "cells")
 
 

@@ -73,12 +73,16 @@ def _held(spark: SparkSession, d: str, name: str, make) -> DataFrame:
     return _HELD[key]
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return _held(spark, d, "raw", lambda: tables.written(tables.orders_as_cells(spark, d), "points"))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return _held(spark, d, "cells", lambda: nb.normalize(tables.orders_as_cells(spark, d)))
+    return _held(spark, d, "cells", lambda: nb.normalize(_raw(spark, d)))
 
 
 def expr(spark: SparkSession, d: str) -> DataFrame:
-    return _held(spark, d, "expr", lambda: tables.written(tables.expression(tables.orders_as_expression(spark, d), tables.orders_as_cells(spark, d)), "expression"))
+    return _held(spark, d, "expr", lambda: tables.written(tables.expression(tables.orders_as_expression(spark, d), _raw(spark, d), repeated=False), "expression"))
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:

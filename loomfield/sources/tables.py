@@ -51,6 +51,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df itself if it is a table as it lies in its files, else written()."""
+    plan = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return df if plan == "LogicalRelation" else written(df, label)
+
+
+def shares(spark: SparkSession, rows: int, most: int) -> int:
+    """Into how many parts rows go: of `most` rows, but as many as there are cores."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / most))
+
+
+def dealt(df: DataFrame, n: int, on: list[str], renamed: dict[str, str]) -> DataFrame:
+    """df in n parts by the columns `on`, with others renamed. Right below a join Spark would raise n to the session's
+    shuffle partitions, many tasks of a few rows; with new names between, n holds for both sides."""
+    return df.repartition(n, *on).withColumnsRenamed(renamed)
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -121,10 +138,12 @@ def orders_as_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy(F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("value"))
 
 
-def expression(long: DataFrame, cells: DataFrame) -> DataFrame:
+def expression(long: DataFrame, cells: DataFrame, repeated: bool = True) -> DataFrame:
     """(dataset, fov, cell_id, label, gene, value) for value > 0 and genes with a name; a repeated gene keeps its first
-    value by size. Cells that aren't in `cells` are dropped."""
-    own = long.where("gene is not null and value > 0").groupBy("cell_id", "gene").agg(F.max("value").alias("value"))
+    value by size. Cells that aren't in `cells` are dropped. Where none is repeated, nothing is grouped."""
+    own = long.where("gene is not null and value > 0")
+    if repeated:
+        own = own.groupBy("cell_id", "gene").agg(F.max("value").alias("value"))
     return own.join(cells.select("dataset", "fov", "cell_id", "label"), "cell_id").select("dataset", "fov", "cell_id", "label", "gene", "value")
 
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import time
 
 import pytest
@@ -231,3 +232,37 @@ def test_other_pairs_by_every_way(spark, cloud):
     assert {(r.center_id, r.neighbor_id) for r in cov.other_pairs(cells, "A", pairs, 0.8).collect()} == want and want
     want = {(a, b) for a, b in want if sum(x == a for x, _ in full) >= 2}
     assert {(r.center_id, r.neighbor_id) for r in cov.other_pairs(cells, "A", pairs, 0.8, min_size=2).collect()} == want
+
+
+def test_covariation_reads_the_expression_few_times(spark, cloud, monkeypatch):
+    """A cell's expression is packed into one row once; no join of pairs or cells reads the table by gene again."""
+    rows, cells = cloud
+    rng = random.Random(4)
+    long = [(r[2], g, float(rng.randint(1, 6))) for r in rows for g in "xyz" if rng.random() < 0.6]
+    expr = tables.written(tables.expression(spark.createDataFrame(long, "cell_id long, gene string, value double"), cells), "expression")
+    plans = []
+    monkeypatch.setattr(cov, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or tables.written(df, label))
+    found = cov.covariation(cells, expr, "A", ["B", "C"], None, 2.0, by_type=True)
+    assert sum(len(re.findall(r"gene#\d+,value#\d+\] parquet", p)) for p in plans) <= 4
+    assert found.select("cell_type", "gene_center", "gene_motif").distinct().count() == found.count() == 18
+
+
+def test_small_joins_make_few_parts(spark, cloud):
+    """The parts asked for hold below the session's shuffle partitions too."""
+    rows, cells = cloud
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = nb.radius_join(cells, 2.0, n=3)
+        assert found.rdd.getNumPartitions() == 3 and {(r.center_id, r.neighbor_id) for r in found.collect()} == near(rows, 2.0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_nearest_is_brute_force_over_uneven_places(spark):
+    """Cells that the first rounds leave over keep their places for the next."""
+    rng = random.Random(8)
+    rows = [("d", f"f{i % 2}", i, "A", rng.gauss(0, 1) * 10 ** (i % 5), rng.gauss(0, 1) * 10 ** (i % 5)) for i in range(300)]
+    want = {a[2]: min((a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2 for b in rows if a[1] == b[1] and a[2] != b[2]) for a in rows}
+    got = {r.cell_id: r.dist2 for r in nb.nearest_distance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
